@@ -5,12 +5,14 @@ each of them whether the record it names was live at the time of the reference.
 
 Plan: ids that need no record (library symbols) are removed by an anti-join,
 broadcast only if their number is checked.  References are then pre-aggregated
-per key, table, side and period to (count, first, last).  Keys that hold at least
+per key and period to (count, first, last).  Keys that hold at least
 ``heavy_share`` of the references - at most 1/heavy_share of them - are answered
 by broadcasting their groups against the records; all others by a shuffle join.
 A group is live (one lifetime covers first..last), orphan (no lifetime touches
 it) or mixed; only references of groups that are not live are looked at again,
-and only those of mixed groups one by one.
+and only those of mixed groups one by one.  To find these references again their
+key hashes are broadcast as a filter ahead of the shuffle where there are at most
+``broadcast_rows`` of them; beyond that the shuffle join runs without it.
 
 Defined results: null ids are no references; a reference with a null time meets
 no lifetime, hence is an orphan; a record with null ``loadedat`` is never live; ids and projects are compared as they stand and a null project
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from skein.workspace import materialise
 
 REF_COLUMNS = ["table_name", "row_no", "side", "project", "id", "at"]
-_GROUP = ["project", "id", "table_name", "side", "period"]
+_GROUP = ["project", "id", "period"]
 
 
 def references(df: DataFrame, table: str, row_no: str, at: str, sides: dict[str, str], project: str = "project") -> DataFrame:
@@ -75,7 +77,7 @@ class OrphanFinder:
         )
 
     def groups(self) -> DataFrame:
-        """(project, id, table_name, side, period, n, lo, hi, verdict)."""
+        """(project, id, period, n, verdict) of every key and period referred to."""
         pre = materialise(
             self.refs.groupBy(*_GROUP).agg(
                 F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")
@@ -124,8 +126,12 @@ class OrphanFinder:
         same = F.lit(True)
         for c in _GROUP:
             same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}"))
-        light = is_heavy(self.refs, "left_anti").alias("r").join(is_heavy(bad, "left_anti").alias("b"), same).select(*kept)
-        hot = is_heavy(self.refs, "left_semi").alias("r").join(
+        hashes = bad.select(F.xxhash64("project", "id").alias("kh")).distinct()
+        refs = self.refs
+        if hashes.limit(self.broadcast_rows + 1).count() <= self.broadcast_rows:
+            refs = refs.withColumn("kh", F.xxhash64("project", "id")).join(F.broadcast(hashes), "kh", "left_semi").drop("kh")
+        light = is_heavy(refs, "left_anti").alias("r").join(is_heavy(bad, "left_anti").alias("b"), same).select(*kept)
+        hot = is_heavy(refs, "left_semi").alias("r").join(
             F.broadcast(is_heavy(bad, "left_semi")).alias("b"), same
         ).select(*kept)
         found = materialise(light.unionByName(hot), "suspects")
