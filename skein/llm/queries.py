@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.mixing import Mixture
+from skein.llm.abuse import abuse_score, source_rates, train
+from skein.llm.mixing import Mixture, source_name
 from skein.llm.packing import fill_report, pack_documents
 from skein.llm.terms import field_values, term_frequency, term_marks
 from skein.llm.tokens import sized
 
 RARE_RECORDS = 2
+ABUSE_THRESHOLD = 0.6
 COMMON_PERCENT = {"domainconcepts": 5, "name": 1}
 
 
@@ -53,6 +55,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(mixture.chosen())
 
 
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    model = train(documents, table(spark, d, "labels"))
+    return documents.select("doc_id", "source", abuse_score(F.col("text"), model, spark).alias("score"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where(F.col("score") >= ABUSE_THRESHOLD).select("doc_id").distinct()
+
+
+def p8_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    return source_rates(p8_scores(spark, d), F.coalesce(source_name(F.col("source")), F.lit("unknown")), ABUSE_THRESHOLD)
+
+
 _P3 = """
 WITH raw AS (
   SELECT 'name' AS field_name, name AS v, project, id FROM nodes WHERE type IS DISTINCT FROM 'file'
@@ -80,6 +96,9 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_source_rates": p8_source_rates,
 }
 
 SQL = {
