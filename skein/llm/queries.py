@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.abuse import abuse_score, source_rates, train
+from skein.llm.handwritten import judge_files, not_handwritten
 from skein.llm.mixing import Mixture, source_name
 from skein.llm.packing import fill_report, pack_documents
 from skein.llm.terms import field_values, term_frequency, term_marks
@@ -34,6 +35,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p5_profiles(spark: SparkSession, d: str) -> DataFrame:
+    return judge_files(table(spark, d, "source_files")).withColumnRenamed("relpath", "filepath")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_handwritten(p5_profiles(spark, d), ("project", "filepath"))
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(sized(table(spark, d, "documents"), "doc_id"), table(spark, d, "pack_sizes"))
 
@@ -92,6 +101,8 @@ WITH raw AS (
 QUERIES = {
     "p3_found": p3_found,
     "p3_term_frequency": p3_term_frequency,
+    "p5_found": p5_found,
+    "p5_profiles": p5_profiles,
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,
