@@ -55,7 +55,7 @@ def _body_end(text: str, at: int) -> int:
 
 
 # fixed values: words before a parenthesis that are no call
-_TS_WORDS = frozenset("if for while switch catch function return typeof await new super import class constructor do else in of void delete throw yield case instanceof".split())
+_TS_WORDS = frozenset("async if for while switch catch function return typeof await new super import class constructor do else in of void delete throw yield case instanceof".split())
 _GO_WORDS = frozenset("func if for switch select return go defer interface struct map chan type var const range case else package import".split())
 _PHP_WORDS = frozenset("if elseif while for foreach switch catch function fn return array isset empty list unset exit die print echo include require include_once require_once match use new and or xor declare static self parent class".split())
 _BASH_WORDS = frozenset("if then else elif fi for while until do done case esac in select function time coproc local export declare readonly typeset unset [ [[ ]] ] { } ! ((".split())
@@ -101,7 +101,10 @@ def _typescript(text: str, code: str) -> list[Capture]:
         end = code.find(m[1], m.end())
         if end > 0:
             out.append(Capture(IMPORT, text[m.start(1) : end + 1], m.start(1), end))
+    specs = [(m.start(), _body_end(code, m.end())) for m in _TS_INTERFACE.finditer(code)]
     for m in _TS_CALL.finditer(code):
+        if any(a < m.start() < b for a, b in specs):
+            continue  # what an interface asks for is no call
         before = code[max(0, m.start() - 10) : m.start()].rstrip()
         if m[1] in _TS_WORDS or m.start(1) in declared or re.search(r"(?:^|[^\w$.])(?:new|function|function\s*\*)$", before):
             continue
@@ -159,7 +162,7 @@ def _python_rules(text: str, code: str) -> list[Capture]:
             if not part[2]:
                 out.append(Capture(IMPORT, part[1], m.start(1) + part.start(1), m.start(1) + part.end(1)))
     skip = {"if", "elif", "while", "for", "in", "and", "or", "not", "return", "yield", "lambda", "print_", "del", "assert", "with", "except", "class", "def", "is", "await", "else", "raise", "from", "import"}
-    for m in re.finditer(r"([A-Za-z_]\w*)\s*\(", code):
+    for m in re.finditer(r"(?<!\w)([A-Za-z_]\w*)\s*\(", code):
         if m[1] not in skip and not re.search(r"(?:def|class)\s+$", code[max(0, m.start() - 12) : m.start()]):
             out.append(Capture(CALL, m[1], m.start(1), m.end(1)))
     return out
@@ -217,15 +220,14 @@ def _php(text: str, code: str) -> list[Capture]:
             continue
         for part in re.finditer(r"\\?\w+(?:\\\w+)+", m[1]):
             out.append(Capture(IMPORT, part[0], m.start(1) + part.start(), m.start(1) + part.end()))
-    for m in re.finditer(r"(\?->|->|::)?\s*(\\?[A-Za-z_]\w*(?:\\\w+)*)\s*\(", code):
-        name, before = m[2], code[max(0, m.start(2) - 12) : m.start(2)].rstrip()
-        if m.start(2) in declared or m[1] == "?->":
-            continue
-        if not m[1] and (name.lower() in _PHP_WORDS or before.endswith(("new", "function", "$", "#["))):
+    for m in re.finditer(r"(?<![\w\\$])(\\?[A-Za-z_]\w*(?:\\\w+)*)\s*\(", code):
+        before = code[max(0, m.start() - 12) : m.start()].rstrip()
+        if m.start(1) in declared or before.endswith("?->"):
             continue
-        if not m[1] and code[m.start(2) - 1 : m.start(2)] in ("$", ">", ":") and m.start(2):
+        member = before.endswith(("->", "::"))
+        if not member and (m[1].lower() in _PHP_WORDS or before.endswith(("new", "function", "#["))):
             continue
-        out.append(Capture(CALL, name, m.start(2), m.end(2)))
+        out.append(Capture(CALL, m[1], m.start(1), m.end(1)))
     return out
 
 
