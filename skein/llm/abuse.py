@@ -30,6 +30,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ LOOKALIKES = str.maketrans(
     "aeopcyxisjkmtbhABEKMHOPCTYXISJaopvkit",
 )
 #: Digits and signs that stand for letters inside a word (fixed values).
-STANDINS = str.maketrans("013457@$+!|€", "oleastastile")
+STANDINS = str.maketrans("013457@$+!|€", "oieastastile")
 _HIDDEN = re.compile("[­᠎​-‏⁠-⁤﻿]")
 _CHUNK = re.compile(r"<[\w-]+>|\S+")
 _ENDS = re.compile(r"[.!?;]+[\"'”“»)\]]*$")
@@ -61,7 +62,8 @@ def _plain(core: str) -> str:
     return _STRETCH.sub(r"\1", core.lower())
 
 
-def words_of(chunk: str) -> list[str]:
+@lru_cache(maxsize=100_000)
+def words_of(chunk: str) -> tuple[str, ...]:
     """Normalised words of a run of non-space characters, quotes as words of their own."""
     out: list[str] = []
     if chunk[0] in _QUOTES or chunk.lstrip("([")[:1] in _QUOTES and chunk.lstrip("(["):
@@ -86,7 +88,16 @@ def words_of(chunk: str) -> list[str]:
             out += ["0" if w[0].isdigit() else _plain(w) for w in _WORD.findall(core)]
     if closing:
         out.append(closing)
-    return out
+    return tuple(out)
+
+
+def spaced(letters: list[str]) -> list[str]:
+    """A run of single letters: a word spelled out, or just letters.  After an
+    article or pronoun the word may begin with either letter."""
+    if len(letters) < 4:
+        return [x.lower() for x in letters]
+    whole = _plain("".join(letters))
+    return [whole, _plain("".join(letters[1:]))] if whole[0] in "ai" else [whole]
 
 
 def passages(text: str | None, window: int = 16, stride: int = 8) -> list[tuple[str, ...]]:
@@ -117,10 +128,7 @@ def passages(text: str | None, window: int = 16, stride: int = 8) -> list[tuple[
             if len(bare) == 1 and bare.isalpha():
                 letters.append(bare)
             else:
-                if len(letters) >= 4:
-                    words.append(_plain("".join(letters)))
-                else:
-                    words += [x.lower() for x in letters]
+                words += spaced(letters)
                 letters = []
                 named = words_of(chunk)
                 words += named
@@ -131,7 +139,7 @@ def passages(text: str | None, window: int = 16, stride: int = 8) -> list[tuple[
             if _ENDS.search(chunk) and len(bare) != 1:
                 close(words[1:] and words)
                 words = ["<s>"]
-        words += [_plain("".join(letters))] if len(letters) >= 4 else [x.lower() for x in letters]
+        words += spaced(letters)
         close(words[1:] and words)
     return list(found)
 
