@@ -9,7 +9,8 @@ broadcast.  Every file then gets a profile:
   Well above the language's median: the names are mangled (minified or bundled
   code) or no names at all (encoded data).
 * ``diversity`` - effective number of first or last words of its function names,
-  per function.  Low: the names are stamped from a template.
+  per function, counting at most ``_ENOUGH`` functions so that long files are not
+  held to more words than a language has verbs.  Low: stamped from a template.
 * ``words`` - mean words of its function names.  Above what the language's files
   usually have: a foreign naming style, so a copy of somebody else's library.
 * ``line_diversity`` and ``name_share`` - effective number of line shapes, and
@@ -42,6 +43,7 @@ from skein.workspace import materialise
 
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789_^$"
 LANGUAGES = ("typescript", "tsx", "python", "go", "php", "bash")
+_ENOUGH = 10
 _COMMENT = r"(?m)/\*[\s\S]*?\*/|^\s*(?://|#|\*).*$"
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*"
 _NAME_RE = re.compile(_NAME)
@@ -141,7 +143,7 @@ def profile(content: str | None, language: int, model: NameModel) -> tuple[float
     stamped = [w for w in (name_words(a or b) for a, b in _FUNCTION.findall(text)) if w]
     diversity = words = 0.0
     if stamped:
-        diversity = min(effective([w[0] for w in stamped]), effective([w[-1] for w in stamped])) / len(stamped)
+        diversity = min(effective([w[0] for w in stamped]), effective([w[-1] for w in stamped])) / min(len(stamped), _ENOUGH)
         words = sum(map(len, stamped)) / len(stamped)
     shapes = [_DIGITS.sub("0", _NAME_RE.sub("x", line.strip())) for line in text.split("\n") if line.strip()]
     chars = sum(map(len, text.split()))
