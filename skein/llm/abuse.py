@@ -144,21 +144,6 @@ def passages(text: str | None, window: int = 16, stride: int = 8) -> list[tuple[
     return list(found)
 
 
-def features(words: tuple[str, ...], bits: int) -> np.ndarray:
-    """Hashed uni-, bi- and trigrams and skip-grams over one or two words."""
-    keys = set(words)
-    n = len(words)
-    for i in range(n - 1):
-        keys.add(f"{words[i]} {words[i + 1]}")
-        if i + 2 < n:
-            keys.add(f"{words[i]} {words[i + 1]} {words[i + 2]}")
-            keys.add(f"{words[i]} _ {words[i + 2]}")
-        if i + 3 < n:
-            keys.add(f"{words[i]} _ _ {words[i + 3]}")
-    mask = (1 << bits) - 1
-    return np.unique(np.fromiter((zlib.crc32(k.encode()) & mask for k in keys), np.int64, len(keys)))
-
-
 @dataclass
 class Rows:
     """Feature rows of passages, one after another."""
@@ -183,6 +168,42 @@ class Rows:
         return Rows.of([self.flat[self.starts[i] : self.starts[i + 1]] for i in which])
 
 
+#: Offsets of the words of a feature: n-grams and, with gaps, skip-grams.
+_GRAMS = ((0,), (0, 1), (0, 1, 2), (0, 2), (0, 3))
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+@lru_cache(maxsize=500_000)
+def _word_hash(word: str) -> int:
+    return zlib.crc32(word.encode()) << 32 | zlib.adler32(word.encode())
+
+
+def features(found: list[tuple[str, ...]], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed features of passages, all at once: (passage, feature) pairs in order."""
+    words = np.fromiter((_word_hash(w) for p in found for w in p), np.uint64)
+    owner = np.repeat(np.arange(len(found)), [len(p) for p in found])
+    pairs = []
+    for salt, offsets in enumerate(_GRAMS):
+        last = offsets[-1]
+        n = len(words) - last
+        if n <= 0:
+            continue
+        key = np.full(n, salt + 1, np.uint64)
+        for o in offsets:
+            key = (key ^ words[o : o + n]) * _MIX
+            key ^= key >> np.uint64(31)
+        key = (key * _MIX2) >> np.uint64(64 - bits)
+        inside = owner[:n] == owner[last:]
+        pairs.append((owner[:n][inside] << bits) | key[inside].astype(np.int64))
+    pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+    return pair >> bits, pair & ((1 << bits) - 1)
+
+
+def feature_rows(found: list[tuple[str, ...]], bits: int) -> list[np.ndarray]:
+    owner, feature = features(found, bits)
+    return np.split(feature, np.searchsorted(owner, np.arange(1, len(found))))
+
+
 @dataclass
 class Ftrl:
     """FTRL-proximal logistic regression on binary features."""
@@ -257,9 +278,10 @@ def fit(texts: list[str | None], labels: list[int], bits: int = 20, rounds: int
     rows: list[np.ndarray] = []
     owner: list[int] = []
     for i, t in enumerate(texts):
-        for p in passages(t):
-            rows.append(features(p, bits))
-            owner.append(i)
+        found = passages(t)
+        if found:
+            rows += feature_rows(found, bits)
+            owner += [i] * len(found)
     if not rows:
         return None
     data, own = Rows.of(rows), np.array(owner)
@@ -300,15 +322,34 @@ def fit(texts: list[str | None], labels: list[int], bits: int = 20, rounds: int
     return AbuseModel(at, w[at], float(model.bias), bits)
 
 
-def score_texts(model: AbuseModel, dense: np.ndarray, texts: list[str | None]) -> np.ndarray:
-    """Of each text the probability of its worst passage."""
-    out = np.zeros(len(texts))
-    for i, t in enumerate(texts):
-        ps = passages(t)
-        if ps:
-            margins = [dense[features(p, model.bits)].sum() for p in ps]
-            out[i] = 1 / (1 + np.exp(-np.clip(max(margins) + model.bias, -35, 35)))
-    return out
+class Scorer:
+    """Scores texts with the weights laid out in an array, many passages at a time."""
+
+    def __init__(self, model: AbuseModel, at_once: int = 4_000):
+        self.model, self.weights, self.at_once = model, model.dense(), at_once
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text the probability that its worst passage is a case."""
+        out = np.zeros(len(texts))
+        found: list[tuple[str, ...]] = []
+        owner: list[int] = []
+
+        def flush() -> None:
+            if found:
+                at, feature = features(found, self.model.bits)
+                margin = np.bincount(at, self.weights[feature], len(found)) + self.model.bias
+                np.maximum.at(out, owner, 1 / (1 + np.exp(-np.clip(margin, -35, 35))))
+                found.clear()
+                owner.clear()
+
+        for i, text in enumerate(texts):
+            own = passages(text)
+            found += own
+            owner += [i] * len(own)
+            if len(found) >= self.at_once:
+                flush()
+        flush()
+        return out
 
 
 def verdicts(labels: DataFrame) -> DataFrame:
@@ -341,10 +382,9 @@ def abuse_score(text: Column, model: AbuseModel | None, spark) -> Column:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = shared.value
-        dense = None if model is None else model.dense()
+        score = Scorer(shared.value) if shared.value is not None else lambda texts: np.zeros(len(texts))
         for texts in batches:
-            yield pd.Series(np.zeros(len(texts)) if model is None else score_texts(model, dense, texts.tolist()))
+            yield pd.Series(score(texts.tolist()))
 
     return scored(text)
 

@@ -48,11 +48,20 @@ def test_held_out_accuracy_with_noisy_verdicts():
     noisy = [1 - y if rng.random() < 0.06 else y for y in labels]
     model = A.fit(texts, noisy)
     test, truth = corpus(400, 2)
-    scores = A.score_texts(model, model.dense(), test)
+    score = A.Scorer(model, at_once=7)
+    scores = score(test)
     assert ((scores >= 0.6).astype(int) == np.array(truth)).mean() > 0.97
     assert len(model.at) < 5000  # L1 leaves few weights
 
 
+def test_features_are_those_of_the_passage_alone():
+    found = [("<s>", "a", "b", "a", "b"), ("c",), ("<s>", "a", "b", "c", "d", "e")]
+    alone = [A.feature_rows([p], 20)[0].tolist() for p in found]
+    assert [r.tolist() for r in A.feature_rows(found, 20)] == alone
+    grams = lambda p: {p[i : i + n] for n in (1, 2, 3) for i in range(len(p) - n + 1)} | {("skip", g, p[i], p[i + g]) for g in (2, 3) for i in range(len(p) - g)}
+    assert [len(r) for r in alone] == [len(grams(p)) for p in found]
+
+
 def test_nothing_to_learn():
     assert A.fit([], []) is None and A.fit(["a", "b"], [0, 0]) is None and A.fit(["", None], [0, 1]) is None
 
