@@ -13,6 +13,7 @@ from skein.operators.extract import build_graph
 from skein.operators.graph import Graph
 from skein.sources import jsonl
 from skein.sources.files import read_files
+from skein.sources.fs import Files
 from skein.workspace import materialise
 
 
@@ -43,7 +44,7 @@ def build(spark: SparkSession, target: str, output: str, use_import: bool = Fals
     fresh = build_graph(files, registry)
     graph = Graph(materialise(fresh.nodes, "nodes"), materialise(fresh.edges, "edges"))
     preserved = 0
-    if use_import and os.path.isdir(output):
+    if use_import and Files(spark).is_dir(output):
         old = jsonl.read_graph(spark, output, strict=True)
         old = Graph(materialise(old.nodes, "old"), materialise(old.edges, "old"))
         preserved = mutate.preserved_count(graph.nodes, old.nodes).first()[0]

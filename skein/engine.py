@@ -69,7 +69,7 @@ class GraphEngine:
 
     def is_stale(self, project: str, days: int = 7) -> bool:
         """Whether the metadata is older than ``days`` or missing."""
-        created = json.loads(jsonl.resource(self.store.folder(project), "metadata")[0]).get("createdAt")
+        created = json.loads(jsonl.resource(self.spark, self.store.folder(project), "metadata")[0]).get("createdAt")
         if not created:
             return True
         return datetime.now(timezone.utc) - datetime.fromisoformat(created.replace("Z", "+00:00")) > timedelta(days=days)

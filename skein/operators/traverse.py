@@ -32,7 +32,7 @@ def impact(graph: Graph, starts: DataFrame, depth: float = 2, direction: str = "
         raise ValueError(f"direction must be one of {', '.join(DIRECTIONS)}")
     levels = min(depth, MAX_DEPTH)
     key = ["project", "start_id"]
-    ids = graph.nodes.select("project", "id").distinct()
+    ids = materialise(graph.nodes.select("project", "id").distinct(), "ids")  # every level asks for them
     seeds = starts.select("project", "id").distinct().join(ids, ["project", "id"], "left_semi")
     seeds = materialise(
         seeds.select("project", F.col("id").alias("start_id"), "id", F.lit(0).cast("bigint").alias("rank"), F.lit(0).alias("level"), F.array("id").alias("path"), F.lit(None).cast("bigint").alias("via_seq")),

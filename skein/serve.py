@@ -60,7 +60,7 @@ class Server:
         project, _, name = uri.removeprefix(SCHEME).rpartition("/")
         if not uri.startswith(SCHEME) or name not in RESOURCES:
             raise KeyError(f"Unknown resource: {uri}")
-        text, kind = jsonl.resource(self.engine.store.folder(project), name)
+        text, kind = jsonl.resource(self.engine.spark, self.engine.store.folder(project), name)
         return {"contents": [{"uri": uri, "mimeType": kind, "text": text}]}
 
     def handle(self, request: dict) -> dict | None:

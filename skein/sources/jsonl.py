@@ -9,7 +9,7 @@ each, which is written partition by partition and moved into place at the end.
 from __future__ import annotations
 
 import json
-import os
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,19 +17,16 @@ from pyspark.sql import functions as F
 
 from skein.operators.graph import Graph, dedupe_first, dedupe_last
 from skein.schema import EDGE_FIELDS, EDGES, METADATA, NODE_FIELDS, NODES, edge_type, node_type, to_interchange
+from skein.sources.fs import Files
 from skein.workspace import materialise
 
 ENTITIES, RELATIONS_FILE, METADATA_FILE = "entities.jsonl", "relations.jsonl", "metadata.json"
 FORMAT_VERSION = "0.1.0"  # fixed value: version of the format
 
 
-def _local(path: str) -> str:
-    return path[7:] if path.startswith("file://") else path
-
-
 def _lines(spark: SparkSession, path: str, schema, mode: str) -> DataFrame:
     """Rows of a line file with ``_line``, their place in it; empty if it is missing."""
-    if not os.path.exists(_local(path)):
+    if not Files(spark).exists(path):
         return spark.createDataFrame([], schema).withColumn("_line", F.lit(0).cast("bigint"))
     text = spark.read.text(path).select(F.monotonically_increasing_id().alias("_line"), F.trim("value").alias("value")).where("value <> ''")
     parsed = text.select("_line", F.from_json("value", schema, {"mode": mode}).alias("r"))
@@ -47,7 +44,7 @@ def _engine(df: DataFrame, fields: tuple[str, ...], schema, project: str) -> Dat
 def read_graph(spark: SparkSession, folder: str, project: str = "", strict: bool = True) -> Graph:
     """Strict: the folder must exist, a malformed line fails, the first row of an
     id holds.  Lenient: what is missing is empty and the last row holds."""
-    if strict and not os.path.isdir(_local(folder)):
+    if strict and not Files(spark).is_dir(folder):
         raise FileNotFoundError(f"Graph directory not found: {folder}")
     nodes = _engine(_lines(spark, f"{folder}/{ENTITIES}", node_type(lower=False), "FAILFAST"), NODE_FIELDS, NODES, project)
     edges = _engine(_lines(spark, f"{folder}/{RELATIONS_FILE}", edge_type(lower=False), "FAILFAST"), EDGE_FIELDS, EDGES, project)
@@ -57,22 +54,22 @@ def read_graph(spark: SparkSession, folder: str, project: str = "", strict: bool
 def _write_lines(df: DataFrame, order: list, fields: tuple[str, ...], path: str) -> None:
     """One JSON object a line, in order, swapped into place when complete."""
     rows = to_interchange(df.orderBy(*order), fields).select(F.to_json(F.struct(*fields)).alias("line"))
-    target = _local(path)
-    partial = f"{target}.partial"
-    count = 0
-    with open(partial, "w", encoding="utf-8") as out:
+
+    def lines() -> Iterator[str]:
+        empty = True
         for r in rows.toLocalIterator(prefetchPartitions=True):
-            out.write(r["line"] + "\n")
-            count += 1
-        if not count:
-            out.write("\n")
-    os.replace(partial, target)
+            empty = False
+            yield r["line"] + "\n"
+        if empty:
+            yield "\n"
+
+    Files(df.sparkSession).replace(path, lines())
 
 
-def _safe(folder: str) -> str:
+def _safe(spark: SparkSession, folder: str) -> str:
     if ".." in folder:
         raise ValueError(f"Output directory must not contain '..': {folder}")
-    os.makedirs(_local(folder), exist_ok=True)
+    Files(spark).make_dir(folder)
     return folder
 
 
@@ -84,7 +81,7 @@ def metadata(graph: Graph) -> dict:
 
 def write_graph(graph: Graph, folder: str) -> None:
     """Export both tables and the metadata."""
-    _safe(folder)
+    _safe(graph.nodes.sparkSession, folder)
     nodes, edges = materialise(graph.nodes, "export"), materialise(graph.edges, "export")
     _write_lines(nodes, [F.collate("filepath", "UNICODE"), "seq"], NODE_FIELDS, f"{folder}/{ENTITIES}")
     _write_lines(edges, [F.collate("sourcefile", "UNICODE"), "seq"], EDGE_FIELDS, f"{folder}/{RELATIONS_FILE}")
@@ -92,32 +89,28 @@ def write_graph(graph: Graph, folder: str) -> None:
 
 
 def write_metadata(graph: Graph, folder: str) -> None:
-    with open(f"{_local(folder)}/{METADATA_FILE}", "w", encoding="utf-8") as out:
-        json.dump(metadata(graph), out, indent=2)
+    Files(graph.nodes.sparkSession).replace(f"{folder}/{METADATA_FILE}", [json.dumps(metadata(graph), indent=2)])
 
 
 def save_nodes(nodes: DataFrame, folder: str) -> None:
     """Overwrite the entities in the order of insertion."""
-    _write_lines(materialise(nodes, "save"), ["seq"], NODE_FIELDS, f"{_safe(folder)}/{ENTITIES}")
+    _write_lines(materialise(nodes, "save"), ["seq"], NODE_FIELDS, f"{_safe(nodes.sparkSession, folder)}/{ENTITIES}")
 
 
 def save_edges(edges: DataFrame, folder: str) -> None:
     """Overwrite the relations in the order of insertion."""
-    _write_lines(materialise(edges, "save"), ["seq"], EDGE_FIELDS, f"{_safe(folder)}/{RELATIONS_FILE}")
+    _write_lines(materialise(edges, "save"), ["seq"], EDGE_FIELDS, f"{_safe(edges.sparkSession, folder)}/{RELATIONS_FILE}")
 
 
-def resource(folder: str, name: str) -> tuple[str, str]:
+def resource(spark: SparkSession, folder: str, name: str) -> tuple[str, str]:
     """Raw text and MIME type of entities, relations or metadata."""
     file, kind, empty = {
         "entities": (ENTITIES, "application/jsonl", ""),
         "relations": (RELATIONS_FILE, "application/jsonl", ""),
         "metadata": (METADATA_FILE, "application/json", "{}"),
     }[name]
-    path = f"{_local(folder)}/{file}"
-    if not os.path.exists(path):
-        return empty, kind
-    with open(path, encoding="utf-8") as f:
-        return f.read(), kind
+    files, path = Files(spark), f"{folder}/{file}"
+    return (files.read(path) if files.exists(path) else empty), kind
 
 
 def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
