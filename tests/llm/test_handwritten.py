@@ -38,7 +38,7 @@ def judged(spark):
     decoy = "// Code generated by a tool, DO NOT EDIT; minified, vendored from upstream 1.2.3\n" + plain(rng)
     rows += [("p", "speaks.ts", "typescript", decoy, ""), ("p", "null.ts", "typescript", None, ""), ("p", "empty.ts", None, "", ""), ("q", "blank.xx", "rust", "\n\n", "")]
     rows += [("p", "twice.ts", "typescript", None, ""), ("p", "twice.ts", "typescript", odd(rng)["mangled"], ""), ("p", "long.ts", "typescript", "".join(plain(rng) for _ in range(200)), "")]
-    return H.judge_files(spark.createDataFrame(rows, SCHEMA).drop("language")).cache()
+    return H.judge_files(spark.createDataFrame(rows, SCHEMA)).cache()
 
 
 def test_each_kind_is_told(judged):
