@@ -10,8 +10,8 @@ L1 sparsity, which leaves a small set of weights to broadcast.
 
 People's verdicts are on documents and partly wrong.  Training alternates: the
 passages of documents called clean are negative; of a document called a case the
-highest scored passages are positive, until documents whose verdict the model
-keeps contradicting are set aside.
+highest scored passages are positive, and documents whose verdict models that did
+not see them contradict are set aside.
 
 The classifier is fitted on the driver on at most ``max_documents`` labelled
 documents (drawn by the hash of their id where there are more); every document is
@@ -230,7 +230,7 @@ class Ftrl:
     def bias(self) -> float:
         return -self.bias_z / ((self.beta + np.sqrt(self.bias_n)) / self.alpha)
 
-    def learn(self, rows: Rows, labels: np.ndarray, importance: np.ndarray, epochs: int, seed: int, batch: int = 64) -> None:
+    def learn(self, rows: Rows, labels: np.ndarray, importance: np.ndarray, epochs: int, seed: int, batch: int = 128) -> None:
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
             order = rng.permutation(len(rows))
@@ -270,8 +270,18 @@ class AbuseModel:
         return w
 
 
-def fit(texts: list[str | None], labels: list[int], bits: int = 20, rounds: int = 4, epochs: int = 3, seed: int = 5, **ftrl) -> AbuseModel | None:
-    """A passage model from verdicts on documents; None without both verdicts."""
+def fit(
+    texts: list[str | None], labels: list[int], bits: int = 20, rounds: int = 2, folds: int = 3, epochs: int = 3, positive_weight: float = 2.0,
+    doubt: float = 0.9, seed: int = 5, **ftrl,
+) -> AbuseModel | None:
+    """A passage model from verdicts on documents; None without both verdicts.
+
+    Which passage of a case is the case, and which verdicts to set aside, is
+    always judged by models that did not see the document: first by how often its
+    features occur in other cases, then by ``folds``-fold training.  A case whose
+    worst passage ranks below the ``doubt`` quantile of clean documents is set
+    aside, and so is a clean document that scores as a plain case.
+    """
     y = np.array(labels, np.int64)
     if len(y) == 0 or y.min() == y.max():
         return None
@@ -282,41 +292,54 @@ def fit(texts: list[str | None], labels: list[int], bits: int = 20, rounds: int
         if found:
             rows += feature_rows(found, bits)
             owner += [i] * len(found)
-    if not rows:
-        return None
-    data, own = Rows.of(rows), np.array(owner)
-    case = y[own] == 1
-    if case.all() or not case.any():
+    own = np.array(owner, np.int64)
+    case = y[own] == 1 if len(own) else np.zeros(0, bool)
+    if not len(rows) or case.all() or not case.any():
         return None
-    # first guess: a passage is as suspect as its features are typical of cases
-    seen_pos = np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(case)]), minlength=1 << bits)
-    seen_neg = np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(~case)]), minlength=1 << bits)
-    share = case.sum() / (~case).sum()
-    evidence = np.log((seen_pos + 0.2) / (seen_neg + 0.2) / share) * (seen_pos + seen_neg > 0)
-    score = data.margins(np.maximum(evidence, 0)) / np.diff(data.starts)
-    keep = np.ones(len(y), bool)
-    model = Ftrl(bits=bits, **ftrl)
-    for turn in range(rounds):
+    data = Rows.of(rows)
+
+    def by_document(which: np.ndarray) -> np.ndarray:
+        """In how many documents of one verdict each feature occurs."""
+        flat = np.concatenate([rows[i] for i in np.flatnonzero(which)])
+        docs = np.concatenate([np.full(len(rows[i]), own[i]) for i in np.flatnonzero(which)])
+        return np.bincount(np.unique(docs << bits | flat) & ((1 << bits) - 1), minlength=1 << bits)
+
+    def top_of(score: np.ndarray) -> np.ndarray:
         top = np.full(len(y), -np.inf)
         np.maximum.at(top, own, score)
-        best = score >= top[own] - 1e-12
-        if turn == 0:
-            positive = case & best
-        else:
-            positive = case & (best | (score > 1.0)) & keep[own]
-        negative = ~case & keep[own]
-        if turn > 1:  # in documents called cases, what plainly scores as clean is clean
-            negative |= case & (score < -2.0) & ~positive
+        return top
+
+    def learn(positive: np.ndarray, negative: np.ndarray, turn: int) -> Ftrl:
         use = np.flatnonzero(positive | negative)
-        target = positive[use].astype(np.float64)
-        weight = np.where(target > 0, min(10.0, max(1.0, 0.15 * (len(use) - target.sum()) / max(1.0, target.sum()))), 1.0)
         model = Ftrl(bits=bits, **ftrl)
-        model.learn(data.pick(use), target, weight, epochs, seed + turn)
-        score = data.margins(model.weights()) + model.bias
-        top = np.full(len(y), -np.inf)
-        np.maximum.at(top, own, score)
-        if turn >= 1:
-            keep = ~(((y == 1) & (top < -1.0)) | ((y == 0) & (top > 2.5)))
+        target = positive[use].astype(np.float64)
+        model.learn(data.pick(use), target, np.where(target > 0, positive_weight, 1.0), epochs, seed + turn)
+        return model
+
+    others = np.maximum(by_document(case) - 1, 0)  # without the document itself
+    share = max(1, y.sum()) / max(1, len(y) - y.sum())
+    evidence = np.log((others + 0.2) / (by_document(~case) + 0.2) / share)
+    score = data.margins(np.maximum(evidence, 0)) / np.diff(data.starts)
+    part = np.random.default_rng(seed).permutation(len(y)) % folds
+    keep = np.ones(len(y), bool)
+    clean = np.zeros(len(own), bool)
+    sure = np.zeros(len(own), bool)
+    for turn in range(rounds):
+        positive = case & keep[own] & ((score >= top_of(score)[own] - 1e-12) | sure)
+        negative = (~case & keep[own]) | (clean & ~positive)
+        unseen = np.zeros(len(own))
+        for k in range(folds):
+            rest = part[own] != k
+            model = learn(positive & rest, negative & rest, turn)
+            held = np.flatnonzero(~rest)
+            unseen[held] = data.pick(held).margins(model.weights()) + model.bias
+        score = unseen
+        top = top_of(score)
+        usual = np.quantile(top[(y == 0) & np.isfinite(top)], doubt)
+        keep = ~(((y == 1) & (top < min(usual, 0.0))) | ((y == 0) & (top > 2.0)))
+        clean, sure = case & (score < -2.0), case & (score > 1.0)
+    positive = case & keep[own] & ((score >= top_of(score)[own] - 1e-12) | sure)
+    model = learn(positive, (~case & keep[own]) | (clean & ~positive), rounds)
     w = model.weights()
     at = np.flatnonzero(w)
     return AbuseModel(at, w[at], float(model.bias), bits)

@@ -13,7 +13,7 @@ from skein.llm.terms import field_values, term_frequency, term_marks
 from skein.llm.tokens import sized
 
 RARE_RECORDS = 2
-ABUSE_THRESHOLD = 0.6
+ABUSE_THRESHOLD = 0.4
 COMMON_PERCENT = {"domainconcepts": 5, "name": 1}
 
 
