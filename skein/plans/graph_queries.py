@@ -482,20 +482,23 @@ SQL = {
     "extract_files": _G + """SELECT project, relpath AS id, 1 AS startline, CAST(len(string_split(content, chr(10))) AS INT) AS endline, 'none' AS exporttype
         FROM f WHERE content IS NOT NULL""",
     "extract_imports": _G + ", l AS (" + _IMPORT_LINES + r""") SELECT project, sourceid, CASE lang
-          WHEN 'python' THEN regexp_extract(line, '^from ([\w.]+) import', 1) WHEN 'go' THEN regexp_extract(line, '^import "([^"]+)"', 1)
+          WHEN 'python' THEN regexp_extract(line, '^from (\w[\w.]*) import', 1) WHEN 'go' THEN regexp_extract(line, '^import "([^"]+)"', 1)
           WHEN 'php' THEN regexp_extract(line, '^use (\w+(?:\\\w+)+);', 1) WHEN 'bash' THEN regexp_extract(line, '^source (\S+)', 1)
           ELSE regexp_extract(line, '^import .* from ''([^'']+)'';', 1) END AS targetid, CAST(sourceline AS INT) AS sourceline
         FROM l WHERE targetid <> ''""",
-    "extract_entities": _G + ", l AS (" + _IMPORT_LINES + r"""), named AS (
+    "extract_entities": _G + ", l AS (" + _IMPORT_LINES + r"""), p AS (
+          SELECT *, coalesce(regexp_matches(lag(line) OVER (PARTITION BY project, sourceid ORDER BY sourceline), '(?:^|[;{}])\s*function\s*$'), false) AS goes_on FROM l
+        ), named AS (
           SELECT project, sourceid, sourceline, line, unnest(CASE
             WHEN lang = 'python' THEN [regexp_extract(line, '^(class|def) (\w+)', ['k', 'name'])]
             WHEN lang = 'go' THEN CASE WHEN line LIKE 'func %' THEN [{'k': 'function', 'name': regexp_extract(line, '^func (\w+)', 1)}]
               ELSE [{'k': CASE regexp_extract(line, '^type \w+ (\w+) \{', 1) WHEN 'struct' THEN 'class' WHEN 'interface' THEN 'interface' ELSE '' END, 'name': regexp_extract(line, '^type (\w+) ', 1)}] END
             WHEN lang = 'bash' THEN [{'k': 'function', 'name': regexp_extract(line, '^(\w+)\(\) \{', 1)}]
             WHEN lang = 'php' THEN list_concat([regexp_extract(line, '^(class|interface) (\w+)', ['k', 'name'])],
-              list_transform(regexp_extract_all(line, '(?:^|[^\w$])function (\w+)', 1), lambda x: {'k': 'function', 'name': x}))
+              list_transform(regexp_extract_all(line, '(?:^|[^\w$])function (\w+)', 1), lambda x: {'k': 'function', 'name': x}), split)
             ELSE list_concat([regexp_extract(line, '^(?:export )?(?:default )?(class|interface) (\w+)', ['k', 'name'])],
-              list_transform(regexp_extract_all(line, '(?:^|[;{}])[ \t]*(?:export )?(?:default )?(?:async )?function (\w+)', 1), lambda x: {'k': 'function', 'name': x})) END) AS r FROM l
+              list_transform(regexp_extract_all(line, '(?:^|[;{}])[ \t]*(?:export )?(?:default )?(?:async )?function (\w+)', 1), lambda x: {'k': 'function', 'name': x}), split) END) AS r
+          FROM (SELECT *, CASE WHEN goes_on THEN [{'k': 'function', 'name': regexp_extract(line, '^\s*(\w+)', 1)}] ELSE [] END AS split FROM p)
         ), kept AS (
           SELECT *, r['name'] AS nm, row_number() OVER (PARTITION BY project, sourceid, r['name'] ORDER BY sourceline) AS rn FROM named WHERE r['name'] <> '' AND r['k'] <> ''
         ) SELECT project, sourceid || '::' || nm AS id, CASE r['k'] WHEN 'def' THEN 'function' ELSE r['k'] END AS type, CAST(sourceline AS INT) AS startline, trim(line) AS signature
