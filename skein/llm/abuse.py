@@ -154,15 +154,17 @@ class Rows:
     @classmethod
     def of(cls, rows: list[np.ndarray]) -> Rows:
         ends = np.cumsum([len(r) for r in rows], dtype=np.int64) if rows else np.zeros(0, np.int64)
-        return cls(np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(([0], ends)).astype(np.int64))
+        return cls(np.concatenate(rows) if rows else np.zeros(0, np.int32), np.concatenate(([0], ends)).astype(np.int64))
 
     def __len__(self) -> int:
         return len(self.starts) - 1
 
     def margins(self, weights: np.ndarray) -> np.ndarray:
-        if not len(self):
-            return np.zeros(0)
-        return np.add.reduceat(weights[self.flat], self.starts[:-1])
+        out = np.zeros(len(self))
+        for at in range(0, len(self), 50_000):  # a piece at a time, to stay small
+            starts = self.starts[at : at + 50_001]
+            out[at : at + 50_000] = np.add.reduceat(weights[self.flat[starts[0] : starts[-1]]], starts[:-1] - starts[0])
+        return out
 
     def pick(self, which: np.ndarray) -> Rows:
         return Rows.of([self.flat[self.starts[i] : self.starts[i + 1]] for i in which])
@@ -201,7 +203,7 @@ def features(found: list[tuple[str, ...]], bits: int) -> tuple[np.ndarray, np.nd
 
 def feature_rows(found: list[tuple[str, ...]], bits: int) -> list[np.ndarray]:
     owner, feature = features(found, bits)
-    return np.split(feature, np.searchsorted(owner, np.arange(1, len(found))))
+    return np.split(feature.astype(np.int32), np.searchsorted(owner, np.arange(1, len(found))))
 
 
 @dataclass
@@ -297,12 +299,15 @@ def fit(
     if not len(rows) or case.all() or not case.any():
         return None
     data = Rows.of(rows)
+    rows.clear()
 
-    def by_document(which: np.ndarray) -> np.ndarray:
+    def by_document(label: int) -> np.ndarray:
         """In how many documents of one verdict each feature occurs."""
-        flat = np.concatenate([rows[i] for i in np.flatnonzero(which)])
-        docs = np.concatenate([np.full(len(rows[i]), own[i]) for i in np.flatnonzero(which)])
-        return np.bincount(np.unique(docs << bits | flat) & ((1 << bits) - 1), minlength=1 << bits)
+        counts = np.zeros(1 << bits)
+        ends = np.searchsorted(own, np.arange(len(y) + 1))
+        for i in np.flatnonzero(y == label):
+            counts[np.unique(data.flat[data.starts[ends[i]] : data.starts[ends[i + 1]]])] += 1
+        return counts
 
     def top_of(score: np.ndarray) -> np.ndarray:
         top = np.full(len(y), -np.inf)
@@ -316,9 +321,9 @@ def fit(
         model.learn(data.pick(use), target, np.where(target > 0, positive_weight, 1.0), epochs, seed + turn)
         return model
 
-    others = np.maximum(by_document(case) - 1, 0)  # without the document itself
+    others = np.maximum(by_document(1) - 1, 0)  # without the document itself
     share = max(1, y.sum()) / max(1, len(y) - y.sum())
-    evidence = np.log((others + 0.2) / (by_document(~case) + 0.2) / share)
+    evidence = np.log((others + 0.2) / (by_document(0) + 0.2) / share)
     score = data.margins(np.maximum(evidence, 0)) / np.diff(data.starts)
     part = np.random.default_rng(seed).permutation(len(y)) % folds
     keep = np.ones(len(y), bool)
