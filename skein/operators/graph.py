@@ -24,8 +24,9 @@ def dedupe_last(nodes: DataFrame, key: list[str] | None = None) -> DataFrame:
 
 def _dedupe(nodes: DataFrame, key: list[str], pick) -> DataFrame:
     rest = [c for c in nodes.columns if c not in key and c != "seq"]
-    held = nodes.groupBy(*key).agg(pick(F.struct(*rest), F.col("seq")).alias("_row"), F.min("seq").alias("seq"))
-    return held.select(*[F.col(c) if c in (*key, "seq") else F.col(f"_row.{c}").alias(c) for c in nodes.columns])
+    # one aggregate a column, so that columns nobody asks for are not read
+    held = nodes.groupBy(*key).agg(*[pick(F.col(c), F.col("seq")).alias(c) for c in rest], F.min("seq").alias("_first"))
+    return held.select(*[F.col("_first" if c == "seq" else c).alias(c) for c in nodes.columns])
 
 
 def contains_folded(column: Column, query: str) -> Column:
