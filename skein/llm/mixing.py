@@ -30,16 +30,17 @@ from pyspark.sql import functions as F
 
 from skein.workspace import materialise
 
-#: Which domain a source belongs to; others are domains of their own.
+#: Which domain a source belongs to: what is kept in a repository, or said about
+#: it.  Sources not listed are domains of their own.
 DOMAINS: dict[str, str] = {
-    "design_docs": "writing",
-    "changelog": "writing",
-    "review_notes": "discussion",
-    "issue_tracker": "discussion",
-    "chat_export": "discussion",
-    "mailing_list": "discussion",
-    "code_comments": "code",
-    "commit_log": "code",
+    "design_docs": "repository",
+    "changelog": "repository",
+    "code_comments": "repository",
+    "review_notes": "conversation",
+    "issue_tracker": "conversation",
+    "chat_export": "conversation",
+    "mailing_list": "conversation",
+    "commit_log": "conversation",
 }
 _CELL_BITS = 16
 
