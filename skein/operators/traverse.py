@@ -3,11 +3,12 @@
 Levels are evaluated one after another.  Per start node each neighbour keeps the
 candidate that is least in (rank of its parent, incoming before outgoing, order
 of the edge), which is the edge a queue would have reached it by; known nodes and
-ids without a node are dropped, and ranks continue in that order up to ``cap``.
+ids without a node are dropped, and ranks continue in that order up to ``cap``,
+or to the last where ``cap`` is None.
 
 A frontier has at most ``cap`` rows per start node.  It is broadcast where the
 number of start nodes is known to keep it small, so a level reads the edges once
-without shuffling them; otherwise it is joined by key.  Levels are written to the
+without shuffling them; otherwise, and always without a cap, it is joined by key.  Levels are written to the
 shared folder, which cuts the lineage of the loop.
 """
 
@@ -25,7 +26,7 @@ DIRECTIONS = ("upstream", "downstream", "both")
 _BROADCAST_ROWS = 200_000
 
 
-def impact(graph: Graph, starts: DataFrame, depth: float = 2, direction: str = "upstream", cap: int = MAX_NODES) -> DataFrame:
+def impact(graph: Graph, starts: DataFrame, depth: float = 2, direction: str = "upstream", cap: int | None = MAX_NODES) -> DataFrame:
     """Rows (project, start_id, rank, level, id, path, via_seq) for ``starts``
     (project, id); a start that is no node has none."""
     if direction not in DIRECTIONS:
@@ -38,7 +39,7 @@ def impact(graph: Graph, starts: DataFrame, depth: float = 2, direction: str = "
         seeds.select("project", F.col("id").alias("start_id"), "id", F.lit(0).cast("bigint").alias("rank"), F.lit(0).alias("level"), F.array("id").alias("path"), F.lit(None).cast("bigint").alias("via_seq")),
         "bfs",
     )
-    small = seeds.limit(_BROADCAST_ROWS // cap + 1).count() <= _BROADCAST_ROWS // cap
+    small = cap is not None and seeds.limit(_BROADCAST_ROWS // cap + 1).count() <= _BROADCAST_ROWS // cap
     hint = F.broadcast if small else (lambda df: df)
 
     sides = []
@@ -59,12 +60,12 @@ def impact(graph: Graph, starts: DataFrame, depth: float = 2, direction: str = "
         fresh = reached.join(hint(found.select(*key, "id")), [*key, "id"], "left_anti").join(ids, ["project", "id"], "left_semi")
         held = found.groupBy(*key).agg(F.max("rank").alias("held"))
         order = Window.partitionBy(*key).orderBy("by.rank", "by.dir", "by.seq")
-        ranked = (
-            fresh.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap)
-            .join(hint(held), key)
-            .withColumn("new_rank", F.col("held") + F.col("n"))
-            .where(F.col("new_rank") <= cap)
-        )
+        numbered = fresh.withColumn("n", F.row_number().over(order))
+        if cap is not None:
+            numbered = numbered.where(F.col("n") <= cap)
+        ranked = numbered.join(hint(held), key).withColumn("new_rank", F.col("held") + F.col("n"))
+        if cap is not None:
+            ranked = ranked.where(F.col("new_rank") <= cap)
         parents = frontier.select(*key, F.col("id").alias("from_id"), F.col("path").alias("parent_path"))
         new = materialise(
             ranked.withColumn("from_id", F.col("by.at"))

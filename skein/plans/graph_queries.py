@@ -158,12 +158,19 @@ def impact_affected_files(spark, d):
 
 
 def impact_every_class(spark, d):
-    """Direct and indirect dependants of every class, all at once."""
+    """Direct dependants of every class, at most MAX_NODES of each; :func:`impact_every_class_whole` counts them all."""
     g = graph(spark, d)
     found = impact(g, g.nodes.where("type = 'class'"), 1, "upstream")
     return found.groupBy("project", F.col("start_id").alias("id")).agg(F.count("*").alias("affected"))
 
 
+def impact_every_class_whole(spark, d):
+    """Direct and indirect dependants of every class to the operator's default depth, however many."""
+    g = graph(spark, d)
+    found = impact(g, g.nodes.where("type = 'class'"), direction="upstream", cap=None)
+    return found.groupBy("project", F.col("start_id").alias("id")).agg(F.count("*").alias("affected"))
+
+
 # --- context ---------------------------------------------------------------
 
 
@@ -318,6 +325,7 @@ QUERIES = {
     "impact_up_d1": _impact(1, "upstream"), "impact_up_d2": _impact(2, "upstream"), "impact_down_d2": _impact(2, "downstream"),
     "impact_both_d2_capped": _impact(2, "both"), "impact_depth_clamp": _impact(99, "upstream"), "impact_both_d5": _impact(5, "both"),
     "impact_affected_files": impact_affected_files, "impact_every_class": impact_every_class,
+    "impact_every_class_whole": impact_every_class_whole,
     "ctx_callers": ctx_callers, "ctx_callees": ctx_callees, "ctx_imports": ctx_imports, "ctx_related_tests": ctx_related_tests,
     "ctx_source_span": ctx_source_span, "ctx_truncate": ctx_truncate, "context_bundle": context_bundle,
     "add_edges_status": add_edges_status, "add_edges_counts": add_edges_counts, "add_edges_defaults": add_edges_defaults,
