@@ -185,10 +185,16 @@ def ctx_callees(spark, d):
 
 
 def ctx_imports(spark, d):
+    """Imports of interfaces only; :func:`ctx_imports_whole` gives those of all nodes."""
     g = graph(spark, d)
     return bundle.imports(g, g.nodes.where("type = 'interface'")).select("project", "target_id", "seq", "targetid")
 
 
+def ctx_imports_whole(spark, d):
+    g = graph(spark, d)
+    return bundle.imports(g, g.nodes).select("project", "target_id", "seq", "targetid")
+
+
 def ctx_related_tests(spark, d):
     g = graph(spark, d)
     return bundle.related_tests(g, seed(g)).select("project", "target_id", "id", "name")
@@ -326,7 +332,7 @@ QUERIES = {
     "impact_both_d2_capped": _impact(2, "both"), "impact_depth_clamp": _impact(99, "upstream"), "impact_both_d5": _impact(5, "both"),
     "impact_affected_files": impact_affected_files, "impact_every_class": impact_every_class,
     "impact_every_class_whole": impact_every_class_whole,
-    "ctx_callers": ctx_callers, "ctx_callees": ctx_callees, "ctx_imports": ctx_imports, "ctx_related_tests": ctx_related_tests,
+    "ctx_callers": ctx_callers, "ctx_callees": ctx_callees, "ctx_imports": ctx_imports, "ctx_imports_whole": ctx_imports_whole, "ctx_related_tests": ctx_related_tests,
     "ctx_source_span": ctx_source_span, "ctx_truncate": ctx_truncate, "context_bundle": context_bundle,
     "add_edges_status": add_edges_status, "add_edges_counts": add_edges_counts, "add_edges_defaults": add_edges_defaults,
     "edges_after_adding": edges_after_adding, "enrich_nodes": enrich_nodes, "semantic_validate": semantic_validate,

@@ -41,3 +41,15 @@ def test_every_class_has_all_its_dependants(spark, tables):
             expected[key] = len(affected)
     rows = q.impact_every_class_whole(spark, str(SF)).collect()
     assert {(r["project"], r["id"]): r["affected"] for r in rows} == expected and len(rows) == len(expected)
+
+
+def test_every_node_has_its_imports(spark, tables):
+    nodes, edges = tables
+    of = defaultdict(list)
+    for e in edges:
+        if e["relation"] == "IMPORTS_FROM":
+            of[e["project"], e["sourceid"]].append((e["seq"], e["targetid"]))
+    expected = Counter((*key, *e) for key, n in nodes.items() for e in of[n["project"], n["filepath"]])
+    rows = q.ctx_imports_whole(spark, str(SF)).collect()
+    assert Counter(tuple(r) for r in rows) == expected
+    assert {nodes[r["project"], r["target_id"]]["type"] for r in rows} > {"interface"}
