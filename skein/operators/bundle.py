@@ -1,9 +1,9 @@
 """Everything needed to understand a node, in one row - for one node or many.
 
 Callers, callees and imports are equi-joins over all wanted nodes at once and
-grouped back per node.  Related tests compare names by substring, which no hash
-join can do; the wanted nodes are therefore broadcast against the test nodes,
-and only so many at a time as ``BATCH`` allows.
+grouped back per node.  Related tests compare names by substring: a name that
+holds another holds the first ``GRAM`` characters of it, so distinct names are
+joined on those and then compared in full, for any number of wanted nodes.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skein.operators.graph import Graph
 
 MAX_LINES = 200
-BATCH = 10_000
+GRAM = 5
 
 _BRIEF = ["id", "type", "name", "filepath", "startline", "endline", "exporttype", "signature"]
 
@@ -51,13 +51,18 @@ def imports(graph: Graph, wanted: DataFrame) -> DataFrame:
 
 def related_tests(graph: Graph, wanted: DataFrame) -> DataFrame:
     """Nodes in test files whose name holds the wanted node's name."""
-    named = graph.nodes.join(_keys(wanted).withColumnRenamed("target_id", "id"), ["project", "id"], "left_semi").select(F.col("project").alias("p"), F.col("id").alias("target_id"), F.lower("name").alias("part"))
-    if named.limit(BATCH + 1).count() > BATCH:
-        raise ValueError(f"related tests are looked up for at most {BATCH} nodes at a time")
-    tests = graph.nodes.where(is_test_file(F.col("filepath")))
-    return tests.join(
-        F.broadcast(named), (F.col("project") == F.col("p")) & F.lower("name").contains(F.col("part")) & (F.col("id") != F.col("target_id"))
-    ).select("project", "target_id", "seq", *_BRIEF)
+    named = graph.nodes.join(_keys(wanted).withColumnRenamed("target_id", "id"), ["project", "id"], "left_semi").select("project", F.col("id").alias("target_id"), F.lower("name").alias("part"))
+    tests = graph.nodes.where(is_test_file(F.col("filepath"))).select("project", "seq", *_BRIEF, F.lower("name").alias("whole"))
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("whole")))
+    # the whole gram at every place, and every shorter one, the empty one included, for names as short
+    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.substring("whole", i, n)))))
+    parts = named.select("project", "part", F.substring("part", 1, GRAM).alias("gram")).distinct()
+    wholes = tests.select("project", "whole").where("whole is not null").distinct().withColumn("gram", F.explode(grams))
+    pairs = wholes.join(parts, ["project", "gram"]).where(F.col("whole").contains(F.col("part"))).select("project", "part", "whole")
+    return (
+        tests.join(pairs, ["project", "whole"]).join(named, ["project", "part"])
+        .where(F.col("id") != F.col("target_id")).select("project", "target_id", "seq", *_BRIEF)
+    )
 
 
 def sources(graph: Graph, wanted: DataFrame, files: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:

@@ -200,6 +200,11 @@ def ctx_related_tests(spark, d):
     return bundle.related_tests(g, seed(g)).select("project", "target_id", "id", "name")
 
 
+def ctx_related_tests_whole(spark, d):
+    g = graph(spark, d)
+    return bundle.related_tests(g, g.nodes).select("project", "target_id", "id", "name")
+
+
 def ctx_source_span(spark, d):
     g = graph(spark, d)
     return bundle.sources(g, g.nodes.where("type <> 'file'"), table(spark, d, "source_files")).select("project", "target_id", "source_code", "truncated", "warning")
@@ -333,6 +338,7 @@ QUERIES = {
     "impact_affected_files": impact_affected_files, "impact_every_class": impact_every_class,
     "impact_every_class_whole": impact_every_class_whole,
     "ctx_callers": ctx_callers, "ctx_callees": ctx_callees, "ctx_imports": ctx_imports, "ctx_imports_whole": ctx_imports_whole, "ctx_related_tests": ctx_related_tests,
+    "ctx_related_tests_whole": ctx_related_tests_whole,
     "ctx_source_span": ctx_source_span, "ctx_truncate": ctx_truncate, "context_bundle": context_bundle,
     "add_edges_status": add_edges_status, "add_edges_counts": add_edges_counts, "add_edges_defaults": add_edges_defaults,
     "edges_after_adding": edges_after_adding, "enrich_nodes": enrich_nodes, "semantic_validate": semantic_validate,

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from conftest import SF
 
+from skein.operators import bundle
 from skein.operators.traverse import impact
 from skein.plans import graph_queries as q
 from test_graph import graph, node, starts
@@ -53,3 +54,28 @@ def test_every_node_has_its_imports(spark, tables):
     rows = q.ctx_imports_whole(spark, str(SF)).collect()
     assert Counter(tuple(r) for r in rows) == expected
     assert {nodes[r["project"], r["target_id"]]["type"] for r in rows} > {"interface"}
+
+
+def test_every_node_has_its_related_tests(spark, tables):
+    nodes, _ = tables
+    tests = defaultdict(list)
+    for n in nodes.values():
+        if any(s in (n["filepath"] or "").lower() for s in ("test/", ".test.", ".spec.")) and n["name"] is not None:
+            tests[n["project"]].append(n)
+    expected = Counter(
+        (p, i, t["id"], t["name"]) for (p, i), n in nodes.items() if n["name"] is not None
+        for t in tests[p] if n["name"].lower() in t["name"].lower() and t["id"] != i
+    )
+    assert Counter(tuple(r) for r in q.ctx_related_tests_whole(spark, str(SF)).collect()) == expected and expected
+
+
+def test_related_tests_of_more_than_ten_thousand(spark):
+    names = ["", "é", "Ab", "abcde", "ABCDEF", "bcdefg", "xyz"]
+    called = lambda n, name: (*n[:4], name, *n[5:])  # noqa: E731  (an empty name, too)
+    nodes = [called(node(i, f"n{i}"), names[i % len(names)]) for i in range(10_500)]
+    nodes += [called(node(20_000 + i, f"t{i}", path="test/a.ts"), name) for i, name in enumerate(["zabcdefg", "", "ÉAB"], 1)]
+    g = graph(spark, nodes, [])
+    got = Counter((r["id"], names[int(r["target_id"][1:]) % len(names)]) for r in bundle.related_tests(g, g.nodes.where("id like 'n%'")).collect())
+    each = 10_500 // len(names)
+    held = {"t1": ["", "Ab", "abcde", "ABCDEF", "bcdefg"], "t2": [""], "t3": ["", "é", "Ab"]}
+    assert got == {(t, n): each for t, ns in held.items() for n in ns}
