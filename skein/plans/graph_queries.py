@@ -220,8 +220,8 @@ def ctx_truncate(spark, d):
 def context_bundle(spark, d):
     g = graph(spark, d)
     return bundle.context_bundles(g, seed(g), table(spark, d, "source_files")).select(
-        "project", "id", "name", "summary", "truncated",
-        *[F.size(c).alias(f"n_{c}") for c in ("callers", "callees", "imports", "related_tests", "warnings")],
+        "project", "id", "name", "summary", "source_code", "truncated",
+        *[F.to_json(c, {"ignoreNullFields": "false"}).alias(c) for c in ("callers", "callees", "imports", "related_tests", "warnings")],
     )
 
 

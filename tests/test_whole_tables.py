@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter, defaultdict
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from skein.operators import bundle
 from skein.operators.traverse import impact
@@ -79,3 +81,30 @@ def test_related_tests_of_more_than_ten_thousand(spark):
     each = 10_500 // len(names)
     held = {"t1": ["", "Ab", "abcde", "ABCDEF", "bcdefg"], "t2": [""], "t3": ["", "é", "Ab"]}
     assert got == {(t, n): each for t, ns in held.items() for n in ns}
+
+
+@pytest.mark.parametrize("called", [False, True])
+def test_context_bundle_gives_its_lists(spark, tables, monkeypatch, called):
+    nodes, edges = tables
+    if called:  # the seed of these tables is a file, which nothing calls
+        into = Counter((e["project"], e["targetid"]) for e in edges if e["relation"] == "CALLS" and (e["project"], e["targetid"]) in nodes and (e["project"], e["sourceid"]) in nodes)
+        most = max(into, key=lambda k: (into[k], k))
+        monkeypatch.setattr(q, "seed", lambda g: spark.createDataFrame([most], "project string, id string"))
+    brief = ["id", "type", "name", "filepath", "startline", "endline", "exporttype", "signature"]
+    ends = ["sourceid", "targetid", "relation", "sourcefile", "sourceline"]
+    row = q.context_bundle(spark, str(SF)).first()
+    project, own = row["project"], nodes[row["project"], row["id"]]
+    mine = sorted((e for e in edges if e["project"] == project), key=lambda e: e["seq"])
+    of = lambda end: nodes.get((project, end))
+    short = lambda n: {c: n[c] for c in brief}
+    calls = [e for e in mine if e["relation"] == "CALLS"]
+    assert json.loads(row["callers"]) == [short(of(e["sourceid"])) for e in calls if e["targetid"] == own["id"] and of(e["sourceid"])]
+    assert json.loads(row["callees"]) == [short(of(e["targetid"])) for e in calls if e["sourceid"] == own["id"] and of(e["targetid"])]
+    assert json.loads(row["imports"]) == [{c: e[c] for c in ends} for e in mine if e["relation"] == "IMPORTS_FROM" and e["sourceid"] == own["filepath"]]
+    tests = sorted((n for (p, _), n in nodes.items() if p == project), key=lambda n: n["seq"])
+    tests = [n for n in tests if any(s in n["filepath"].lower() for s in ("test/", ".test.", ".spec."))]
+    assert json.loads(row["related_tests"]) == [short(n) for n in tests if own["name"].lower() in n["name"].lower() and n["id"] != own["id"]]
+    texts = [r["content"] for r in q.table(spark, str(SF), "source_files").where((F.col("project") == project) & (F.col("relpath") == own["filepath"])).collect() if r["content"] is not None]
+    span = max(texts).split("\n")[max(1, own["startline"]) - 1 : own["endline"]] if texts else None
+    assert row["source_code"] == (span and "\n".join(span[:200])) and len(json.loads(row["warnings"])) == (not texts or len(span) > 200)
+    assert bool(json.loads(row["callers"])) == called
