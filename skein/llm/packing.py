@@ -1,9 +1,10 @@
 """Filling fixed-capacity containers with documents.
 
 Hierarchical packing over lengths.  The capacities are context-size tiers; a
-document belongs to the smallest tier that holds it.  Tiers are packed from the
-longest down, each into containers of the target capacity, and what a tier
-leaves free is filled from the shorter ones before a new container is opened.
+document belongs to the smallest tier that holds it.  Best fit in decreasing
+length replaces passes by tier: it places every longer tier before a shorter one
+and fills what that leaves free before a new container is opened.  ``fills_gap``
+marks pieces in containers that a longer tier opened.
 
 Sizes are integers of at most the capacity, so the whole collection is described
 by a histogram of at most ``capacity`` counts.  The driver packs that histogram
@@ -102,13 +103,15 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[Pattern]:
 @dataclass
 class Layout:
     """Where the i-th piece in falling length goes: sorted interval starts and
-    for each interval its container, offset, pieces per container and length."""
+    for each interval its container, offset, pieces per container, length and the
+    length that opened the container."""
 
     starts: np.ndarray
     container: np.ndarray
     offset: np.ndarray
     per: np.ndarray
     length: np.ndarray
+    opened: np.ndarray
     containers: int
 
 
@@ -121,12 +124,12 @@ def layout(patterns: list[Pattern], counts: dict[int, int]) -> Layout:
     for p in patterns:
         offset = 0
         for length, per in p.runs:
-            rows.append((begin[length], container, offset, per, length))
+            rows.append((begin[length], container, offset, per, length, p.runs[0][0]))
             begin[length] += per * p.repeat
             offset += per * length
         container += p.repeat
-    table = np.array(sorted(rows), np.int64).reshape(-1, 5)
-    return Layout(*(table[:, i].copy() for i in range(5)), containers=container)
+    table = np.array(sorted(rows), np.int64).reshape(-1, 6)
+    return Layout(*(table[:, i].copy() for i in range(6)), containers=container)
 
 
 def pack_documents(documents: DataFrame, pack_sizes: DataFrame, step_containers: int = 8) -> DataFrame:
@@ -187,7 +190,7 @@ def pack_documents(documents: DataFrame, pack_sizes: DataFrame, step_containers:
                         "pack_id": rows["pack_id"], "capacity_tokens": rows["capacity"], "container": container,
                         "step_group": np.where(turn % 2 == 0, place, groups - 1 - place), "at_token": offset,
                         "doc_id": rows["doc_id"].astype("Int64"), "piece": rows["piece"], "start_token": rows["start_token"], "n_tokens": n,
-                        "tier_tokens": tier, "fills_gap": (offset > 0) & (tier < capacity),
+                        "tier_tokens": tier, "fills_gap": tier < tiers[np.searchsorted(tiers, plan.opened[j])],
                     }
                 )
 
