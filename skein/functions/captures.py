@@ -71,6 +71,54 @@ _TS_CALL = re.compile(rf"(?<![\w$.#])({_W})\s*(?:<[\w$\s,.\[\]|&]*>)?\(")
 _TS_EXPORT = re.compile(r"(?:^|[;}])[ \t]*(export)(?=[\s{*])", re.M)
 
 
+_SPACE = re.compile(r"\s*")
+_ATOM = re.compile(r"""[\w$]+|-\d[\w.]*|"[^"\n]*"|'[^'\n]*'|`[^`]*`""")
+_ANGLES = re.compile(r"=>|[<>({\[]")
+_TYPE_PREFIXES = frozenset("keyof typeof readonly unique infer asserts new abstract".split())
+
+
+def _angle_end(code: str, at: int) -> int:
+    """Offset behind the angle bracket that closes the one at ``at``."""
+    depth = 0
+    while m := _ANGLES.search(code, at):
+        at = m.end()
+        if m.group() in _PAIRS:
+            at = closing(code, m.start()) + 1
+        elif m.group() != "=>":
+            depth += 1 if m.group() == "<" else -1
+            if depth == 0:
+                return at
+    return len(code)
+
+
+def _behind_type(code: str, at: int, arrow: bool = False) -> int:
+    """Offset of what follows a return type annotation at ``at``, if there is one, of any
+    length.  Of an ``arrow`` function the type ends at the first ``=>`` outside of brackets."""
+    at = _SPACE.match(code, at).end()
+    if not code.startswith(":", at):
+        return at
+    at, wanted = at + 1, True  # whether an operand has to follow
+    while (at := _SPACE.match(code, at).end()) < len(code):
+        c, word = code[at], _ATOM.match(code, at)
+        if wanted and c in "({[":
+            at, wanted = closing(code, at) + 1, False
+        elif c == "[":
+            at = closing(code, at) + 1
+        elif c == "<":
+            at = _angle_end(code, at)
+        elif c in "|&" or not wanted and c in ".?:":
+            at, wanted = at + 1, True
+        elif not wanted and not arrow and code.startswith("=>", at):
+            at, wanted = at + 2, True
+        elif word and wanted:
+            at, wanted = word.end(), word.group() in _TYPE_PREFIXES
+        elif word and word.group() in ("is", "extends"):
+            at, wanted = word.end(), True
+        else:
+            break
+    return at
+
+
 def _typescript(text: str, code: str) -> list[Capture]:
     out: list[Capture] = []
     declared: set[int] = set()
@@ -86,15 +134,14 @@ def _typescript(text: str, code: str) -> list[Capture]:
         out.append(Capture(INTERFACE, m[1], m.start(1), m.end(1)))
     for m in _TS_ARROW.finditer(code):
         if m[3]:
-            after = code[closing(code, m.start(3)) + 1 :][:400]
-            if not re.match(r"\s*(?::[^=;{]+?(?:\{[^{}]*\})?)?\s*=>", after):
+            if not code.startswith("=>", _behind_type(code, closing(code, m.start(3)) + 1, arrow=True)):
                 continue
         out.append(Capture(ARROW, m[1], m.start(1), m.end(1)))
     for m in _TS_METHOD.finditer(code):
         if m[1] in _TS_WORDS and m[1] != "constructor" or m.start(1) in declared:
             continue
         end = closing(code, m.end() - 1)
-        if re.match(r"\s*(?::[^;{}=]+?(?:\{[^{}]*\})?)?\s*\{", code[end + 1 :][:400]) :
+        if code.startswith("{", _behind_type(code, end + 1)):
             declared.add(m.start(1))
             out.append(Capture(METHOD, m[1], m.start(1), m.end(1)))
     for m in _TS_IMPORT.finditer(code):
