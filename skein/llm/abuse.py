@@ -13,18 +13,27 @@ passages of documents called clean are negative; of a document called a case the
 highest scored passages are positive, and documents whose verdict models that did
 not see them contradict are set aside.
 
+The threshold comes from the scores that models gave to documents they did not
+see.  Labels favour cases, so clean documents weigh as much more as it takes to
+bring cases down to ``base_rate`` of all; the best F-score under these weights, in
+which precision counts twice as much as recall, holds.
+Where even a cautious estimate of precision there is below one half, the verdicts
+are too few to tell cases, and no document is called one (``threshold`` infinite).
+
 The classifier is fitted on the driver on at most ``max_documents`` labelled
-documents (drawn by the hash of their id where there are more); every document is
-scored, over its whole text, by Arrow batches on the executors.
+documents of at most ``max_chars`` characters together (drawn by the hash of
+their id where there are more); every document is scored, over its whole text, by
+Arrow batches on the executors.
 
 Defined results: null verdicts do not count, the majority of the others holds and
 ties are left out; null, empty and blank texts score 0; copies score alike and
 repeated rows give a row each; without at least one verdict of either kind every
-score is 0; an empty table gives no rows.
+score is 0 and no document is a case; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -34,7 +43,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Letters of other scripts that look like Latin ones (fixed values).
@@ -44,6 +53,9 @@ LOOKALIKES = str.maketrans(
 )
 #: Digits and signs that stand for letters inside a word (fixed values).
 STANDINS = str.maketrans("013457@$+!|€", "oieastastile")
+#: A line break within a sentence: the next line goes on in lower case, or both are in capitals.
+_WRAP = re.compile(r"(?<=\S)[ \t]*\r?\n[ \t]*(?=[a-zß-öø-ÿ])|(?<=[A-ZÀ-Þ]{2})[ \t]*\r?\n[ \t]*(?=[A-ZÀ-Þ]{2})")
+_NUMBERED = re.compile(r"^[^\W\d_]{2,}\d+$")
 _HIDDEN = re.compile("[­᠎​-‏⁠-⁤﻿]")
 _CHUNK = re.compile(r"<[\w-]+>|\S+")
 _ENDS = re.compile(r"[.!?;]+[\"'”“»)\]]*$")
@@ -80,8 +92,8 @@ def words_of(chunk: str) -> tuple[str, ...]:
             out.append("<id>")
         elif core.isdigit():
             out.append("0")
-        elif re.fullmatch(r"dev\d+", core.lower()):
-            out.append("<person>")
+        elif _NUMBERED.match(core):
+            out.append("<id>")
         elif _MIXED.match(core):
             out.append(_plain(re.sub(r"[^\w]|\d|_", "", core.translate(STANDINS))) or "0")
         else:
@@ -100,11 +112,29 @@ def spaced(letters: list[str]) -> list[str]:
     return [whole, _plain("".join(letters[1:]))] if whole[0] in "ai" else [whole]
 
 
+@lru_cache(maxsize=200_000)
+def _read(chunk: str) -> tuple[str | None, tuple[str, ...], tuple[str, ...], bool]:
+    """(single letter or '' for a tag or None, words, parts of a name, whether a sentence ends)."""
+    if chunk[0] == "<" and chunk[-1] == ">":
+        return "", (), (), True
+    bare = chunk.strip(_EDGE)
+    if len(bare) == 1 and bare.isalpha():
+        return bare, (), (), False
+    named = words_of(chunk)
+    parts: tuple[str, ...] = ()
+    if "<id>" in named and "/" not in bare:  # a name may speak, too
+        parts = tuple(_plain(x) for x in _PART.findall(bare))
+    return None, named, parts if len(parts) > 1 else (), bool(_ENDS.search(chunk))
+
+
 def passages(text: str | None, window: int = 16, stride: int = 8) -> list[tuple[str, ...]]:
     """The distinct passages of a text as tuples of normalised words."""
     if not text or not text.strip():
         return []
-    text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).translate(LOOKALIKES)
+    if not text.isascii():
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).translate(LOOKALIKES)
+    if "\n" in text:
+        text = _WRAP.sub(" ", text)
     found: dict[tuple[str, ...], None] = {}
 
     def close(words: list[str]) -> None:
@@ -120,23 +150,17 @@ def passages(text: str | None, window: int = 16, stride: int = 8) -> list[tuple[
         words: list[str] = ["<s>"]
         letters: list[str] = []
         for chunk in _CHUNK.findall(line):
-            if chunk[0] == "<" and chunk[-1] == ">":
-                close(words[1:] and words)
-                words = ["<s>"]
+            letter, named, parts, ends = _read(chunk)
+            if letter:
+                letters.append(letter)
                 continue
-            bare = chunk.strip(_EDGE)
-            if len(bare) == 1 and bare.isalpha():
-                letters.append(bare)
-            else:
+            if letters:
                 words += spaced(letters)
                 letters = []
-                named = words_of(chunk)
-                words += named
-                if "<id>" in named and "/" not in bare:  # a name may speak, too
-                    parts = [_plain(x) for x in _PART.findall(bare)]
-                    if len(parts) > 1:
-                        close(["<name>", *parts])
-            if _ENDS.search(chunk) and len(bare) != 1:
+            words += named
+            if parts:
+                close(["<name>", *parts])
+            if ends:
                 close(words[1:] and words)
                 words = ["<s>"]
         words += spaced(letters)
@@ -259,12 +283,18 @@ class Ftrl:
 
 @dataclass
 class AbuseModel:
-    """Sparse weights: sorted feature numbers and their values, and a bias."""
+    """Sparse weights: sorted feature numbers and their values, and a bias; from which
+    score on a document is a case, and what was found of it on documents held out."""
 
     at: np.ndarray
     value: np.ndarray
     bias: float
     bits: int
+    threshold: float = math.inf
+    precision: float = 0.0
+    recall: float = 0.0
+    documents: int = 0
+    cases: int = 0
 
     def dense(self) -> np.ndarray:
         w = np.zeros(1 << self.bits)
@@ -272,9 +302,30 @@ class AbuseModel:
         return w
 
 
+def cut(score: np.ndarray, y: np.ndarray, base_rate: float, caution: float = 1.0) -> tuple[float, float, float]:
+    """(margin, precision, recall): the cut of best F0.5 among held-out scores, clean
+    documents weighted so that cases are ``base_rate`` of all; infinite if precision,
+    ``caution`` standard errors down (Wilson), is below one half."""
+    cases, clean = int(y.sum()), int(len(y) - y.sum())
+    weight = (1 - base_rate) / base_rate * cases / clean
+    order = np.argsort(-score, kind="stable")
+    right = np.cumsum(y[order])
+    wrong = np.arange(1, len(y) + 1) - right
+    finite = np.isfinite(score[order])
+    last = np.append(score[order][1:] != score[order][:-1], True)  # of equal scores all or none
+    f = np.where(last & finite, 1.25 * right / (0.25 * cases + right + weight * wrong), 0.0)
+    at = int(f.argmax())
+    n, share = at + 1, right[at] / (at + 1)
+    z = caution * caution / n
+    least = (share + z / 2 - caution * math.sqrt(share * (1 - share) / n + z / (4 * n))) / (1 + z)
+    if least < weight * (1 - least):
+        return math.inf, 0.0, 0.0
+    return float(score[order][at]), float(right[at] / (right[at] + weight * wrong[at])), float(right[at] / cases)
+
+
 def fit(
     texts: list[str | None], labels: list[int], bits: int = 20, rounds: int = 2, folds: int = 3, epochs: int = 3, positive_weight: float = 2.0,
-    doubt: float = 0.9, seed: int = 5, **ftrl,
+    doubt: float = 0.9, base_rate: float = 0.03, seed: int = 5, **ftrl,
 ) -> AbuseModel | None:
     """A passage model from verdicts on documents; None without both verdicts.
 
@@ -347,7 +398,9 @@ def fit(
     model = learn(positive, (~case & keep[own]) | (clean & ~positive), rounds)
     w = model.weights()
     at = np.flatnonzero(w)
-    return AbuseModel(at, w[at], float(model.bias), bits)
+    margin, precision, recall = cut(top, y, base_rate)
+    threshold = 1 / (1 + math.exp(-margin)) if math.isfinite(margin) else math.inf
+    return AbuseModel(at, w[at], float(model.bias), bits, threshold, precision, recall, len(y), int(y.sum()))
 
 
 class Scorer:
@@ -391,16 +444,20 @@ def verdicts(labels: DataFrame) -> DataFrame:
     )
 
 
-def train(documents: DataFrame, labels: DataFrame, max_documents: int = 20_000, **options) -> AbuseModel | None:
-    """The model fitted on at most ``max_documents`` labelled documents."""
+def train(documents: DataFrame, labels: DataFrame, max_documents: int = 20_000, max_chars: int = 100_000_000, **options) -> AbuseModel | None:
+    """The model fitted on at most ``max_documents`` labelled documents, of at most
+    ``max_chars`` characters together."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    judged = verdicts(labels).orderBy(*order).limit(max_documents)
     labelled = (
         documents.select("doc_id", "text").where(F.col("text").isNotNull())
-        .join(verdicts(labels), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        .limit(max_documents)
+        .join(F.broadcast(judged), "doc_id")  # at most max_documents rows
+        .groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+        .withColumn("held", F.sum(F.length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        .where(F.col("held") <= max_chars)
+        .select("text", "label")
         .toPandas()
     )
-    labelled = labelled.drop_duplicates("doc_id")
     return fit(labelled["text"].tolist(), labelled["label"].tolist(), **options)
 
 
@@ -417,10 +474,15 @@ def abuse_score(text: Column, model: AbuseModel | None, spark) -> Column:
     return scored(text)
 
 
-def source_rates(scored: DataFrame, source: Column, threshold: float) -> DataFrame:
+def is_case(model: AbuseModel | None) -> Column:
+    """Whether a ``score`` makes a document a case; never without a threshold."""
+    return F.col("score") >= (model.threshold if model else math.inf)
+
+
+def source_rates(scored: DataFrame, source: Column, model: AbuseModel | None) -> DataFrame:
     """Per source: documents, cases, the rate of cases and the mean score."""
     return (
         scored.groupBy(source.alias("source"))
-        .agg(F.count("*").alias("documents"), F.sum((F.col("score") >= threshold).cast("bigint")).alias("cases"), F.avg("score").alias("mean_score"))
+        .agg(F.count("*").alias("documents"), F.sum(is_case(model).cast("bigint")).alias("cases"), F.avg("score").alias("mean_score"))
         .withColumn("rate", F.col("cases") / F.col("documents"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.abuse import abuse_score, source_rates, train
+from skein.llm.abuse import AbuseModel, abuse_score, is_case, source_rates, train
 from skein.llm.handwritten import judge_files, not_handwritten
 from skein.llm.mixing import Mixture, source_name
 from skein.llm.packing import fill_report, pack_documents
@@ -13,7 +13,6 @@ from skein.llm.terms import field_values, term_frequency, term_marks
 from skein.llm.tokens import sized
 
 RARE_RECORDS = 2
-ABUSE_THRESHOLD = 0.4
 COMMON_PERCENT = {"domainconcepts": 5, "name": 1}
 
 
@@ -64,18 +63,31 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(mixture.chosen())
 
 
-def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, AbuseModel | None]:
     documents = table(spark, d, "documents")
     model = train(documents, table(spark, d, "labels"))
-    return documents.select("doc_id", "source", abuse_score(F.col("text"), model, spark).alias("score"))
+    return documents.select("doc_id", "source", abuse_score(F.col("text"), model, spark).alias("score")), model
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d)[0]
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_scores(spark, d).where(F.col("score") >= ABUSE_THRESHOLD).select("doc_id").distinct()
+    scored, model = _judged(spark, d)
+    return scored.where(is_case(model)).select("doc_id").distinct()
 
 
 def p8_source_rates(spark: SparkSession, d: str) -> DataFrame:
-    return source_rates(p8_scores(spark, d), F.coalesce(source_name(F.col("source")), F.lit("unknown")), ABUSE_THRESHOLD)
+    scored, model = _judged(spark, d)
+    return source_rates(scored, F.coalesce(source_name(F.col("source")), F.lit("unknown")), model)
+
+
+def p8_model_report(spark: SparkSession, d: str) -> DataFrame:
+    """What the model learnt from, and its precision and recall on documents held out."""
+    model = train(table(spark, d, "documents"), table(spark, d, "labels"))
+    rows = [(model.documents, model.cases, len(model.at), model.threshold, model.precision, model.recall)] if model else []
+    return spark.createDataFrame(rows, "documents bigint, cases bigint, weights bigint, threshold double, held_out_precision double, held_out_recall double")
 
 
 _P3 = """
@@ -110,6 +122,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_source_rates": p8_source_rates,
+    "p8_model_report": p8_model_report,
 }
 
 SQL = {

@@ -11,7 +11,7 @@ from skein.llm import abuse as A
 @pytest.mark.parametrize("text,word", [
     ("you c.r.e.t.i.n here", "cretin"), ("you cl0wn", "clown"), ("a h4lfw1+...", "halfwit"), ("the creeeetin", "cretin"), ("m​aggot", "maggot"),
     ("a b r a i n l e s s one", "brainless"), ("рarаsite", "parasite"), ("FOOL!!", "fool"), ("a cr*tin", "<mask>"), ("src/a/b.ts fails", "<id>"),
-    ("renderThing fails", "<id>"), ("12 ms", "0"), ('say "pig" now', '"'), ("dev12 said", "<person>"), ("Ausländer", "ausländer"),
+    ("renderThing fails", "<id>"), ("12 ms", "0"), ('say "pig" now', '"'), ("dev12 said", "<id>"), ("user7: a cr3t1n", "cretin"), ("Ausländer", "ausländer"),
 ])
 def test_words_are_undisguised(text, word):
     assert any(word in p for p in A.passages(text))
@@ -26,6 +26,13 @@ def test_passages():
     assert ("<name>", "you", "silly", "goose") in A.passages("call youSillyGoose now")
 
 
+def test_sentences_go_on_over_wrapped_lines_and_letters_end_with_a_tag():
+    assert A.passages("you utter\ngoblin. Bye") == [("<s>", "you", "utter", "goblin"), ("<s>", "bye")]
+    assert A.passages("YOU UTTER\nGOBLIN") == [("<s>", "you", "utter", "goblin")]
+    assert A.passages("one\n- two\n\nthree\nFour") == [("<s>", "one"), ("<s>", "two"), ("<s>", "three"), ("<s>", "four")]
+    assert A.passages("say g o b l <dev3> hello") == [("<s>", "say", "gobl"), ("<s>", "hello")]
+
+
 def corpus(n, seed):
     rng = random.Random(seed)
     nouns = ["queue", "packet", "ledger", "roster"]
@@ -54,6 +61,40 @@ def test_held_out_accuracy_with_noisy_verdicts():
     assert len(model.at) < 5000  # L1 leaves few weights
 
 
+def test_threshold_comes_from_documents_held_out():
+    texts, labels = corpus(800, 1)
+    model = A.fit(texts, labels)
+    assert model.precision > 0.9 and model.recall > 0.9 and (model.documents, model.cases) == (800, sum(labels))
+    test, truth = corpus(400, 3)
+    called = A.Scorer(model)(test) >= model.threshold
+    truth = np.array(truth) == 1
+    assert (called & truth).sum() > 0.9 * truth.sum() and (called & truth).sum() > 0.9 * called.sum()
+    # verdicts that say nothing, or far too few of them: no document is called a case
+    rng = random.Random(3)
+    assert A.fit(texts, [int(rng.random() < 0.1) for _ in texts]).threshold == float("inf")
+    assert A.fit(texts[:12], labels[:11] + [1 - labels[10]]).threshold == float("inf")
+
+
+def test_cut_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        y = (rng.random(200) < 0.3).astype(int)
+        score = np.round(rng.normal(size=200) + 2 * y, 1)
+        score[rng.random(200) < 0.05] = -np.inf
+        weight = 9 * y.sum() / (1 - y).sum()
+        best = (0.0, None)
+        for t in np.unique(score[np.isfinite(score)])[::-1]:
+            tp, fp = (y[score >= t]).sum(), (1 - y[score >= t]).sum()
+            p, r = tp / (tp + weight * fp), tp / y.sum()
+            best = max(best, (round(1.25 * p * r / (0.25 * p + r), 9) if tp else 0.0, t), key=lambda x: x[0])
+        got = A.cut(score, y, 0.1, caution=0.0)
+        tp, fp = y[score >= best[1]].sum(), (1 - y[score >= best[1]]).sum()
+        if tp < weight * fp:
+            assert got == (np.inf, 0.0, 0.0)
+        else:
+            assert got[0] == best[1] and np.isclose(got[1], tp / (tp + weight * fp)) and np.isclose(got[2], tp / y.sum())
+
+
 def test_features_are_those_of_the_passage_alone():
     found = [("<s>", "a", "b", "a", "b"), ("c",), ("<s>", "a", "b", "c", "d", "e")]
     alone = [A.feature_rows([p], 20)[0].tolist() for p in found]
@@ -98,6 +139,9 @@ def test_documents(spark):
     assert len(got) == len(rows)
     by = {r["doc_id"]: r["p"] for r in got}
     assert by[900] == by[901] == 0.0 and by[902] > 0.6
+    called = docs.select("doc_id", A.abuse_score(docs["text"], model, spark).alias("score")).where(A.is_case(model)).count()
+    assert 0 < called < len(rows) and docs.selectExpr("1.0d as score").where(A.is_case(None)).count() == 0
+    assert A.train(docs, labs, max_chars=0) is None and A.train(docs, labs, max_documents=50).documents <= 50
     none = docs.select(A.abuse_score(docs["text"], A.train(docs, labs.limit(0)), spark).alias("p")).distinct().collect()
     assert [r["p"] for r in none] == [0.0]
     assert A.train(docs.limit(0), labs) is None
