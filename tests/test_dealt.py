@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from skein.operators.hotkeys import dominant_keys, key_profile
+from skein.operators.keyfilter import key_filter, may_be_among
 from skein.operators.ordering import global_index
 from skein.operators.orphans import OrphanFinder, references
 from skein.operators.snapshots import snapshot_changes
@@ -44,9 +46,9 @@ def orphans_by_hand(edges, nodes, known=()):
     return out
 
 
-@pytest.mark.parametrize("heavy_rows,broadcast_rows", [(10_000, 200_000), (20, 200_000), (20, 0)])
-def test_orphans_equal_brute_force(spark, heavy_rows, broadcast_rows):
-    rng = random.Random(heavy_rows)
+@pytest.mark.parametrize("heavy_keys,broadcast_rows,filter_bits", [(4_000, 200_000, 26), (10, 200_000, 16), (10, 0, 16), (0, 0, 16)])
+def test_orphans_equal_brute_force(spark, heavy_keys, broadcast_rows, filter_bits):
+    rng = random.Random(heavy_keys)
     ids = ["hot"] * 6 + [f"n{i}" for i in range(15)] + [None, "", "lib", "ghost"]
     nodes = []
     for p in ("p", "q"):
@@ -54,12 +56,29 @@ def test_orphans_equal_brute_force(spark, heavy_rows, broadcast_rows):
             for _ in range(rng.randint(0, 2)):
                 a = rng.choice([None, *range(0, 100)])
                 nodes.append((p, i, a, rng.choice([None, (a or 0) + rng.randint(0, 40)])))
+    nodes += [("p", "hot", 10, 20), ("p", "hot", 33, 50), ("p", "n1", 35, 36)]
     edges = [(rng.choice(["p", "p", "q", None]), rng.choice(ids), rng.choice(ids), rng.choice([None, *range(0, 120)])) for _ in range(300)]
     edges += edges[:20]
-    f = finder(spark, edges, nodes, ["lib", None], heavy_rows=heavy_rows, broadcast_rows=broadcast_rows, heavy_share=0.01)
+    f = finder(spark, edges, nodes, ["lib", None], heavy_keys=heavy_keys, broadcast_rows=broadcast_rows, filter_bits=filter_bits)
     got = sorted((r["row_no"], r["side"]) for r in f.rows().collect())
     assert got == sorted(orphans_by_hand(edges, nodes, {"lib"}))
-    assert sum(r["orphans"] for r in f.counts().collect()) == len(got)
+    by = Counter((r["table_name"], r["side"], r["period"]) for r in f.rows().collect())
+    assert {(r["table_name"], r["side"], r["period"]): r["orphans"] for r in f.counts().collect()} == by
+    kinds = {(r["hot"], r["verdict"]) for r in f.groups().select("hot", "verdict").distinct().collect()}
+    assert {v for _, v in kinds} == {"live", "mixed", "orphan"}
+    if heavy_keys == 10:
+        assert {(True, "mixed"), (False, "mixed"), (True, "live"), (False, "orphan")} <= kinds
+
+
+def test_filter_lets_every_key_pass_and_few_others(spark):
+    keys = spark.range(0, 3000, 3).selectExpr("cast(id % 7 as string) as a", "cast(id as string) as b")
+    rows = spark.range(3000).selectExpr("cast(id % 7 as string) as a", "cast(id as string) as b", "id as slot", "id as words")
+    for bits, most in ((26, 5), (16, 80)):
+        got = {r["words"] for r in may_be_among(rows, ["a", "b"], key_filter(keys, ["a", "b"], bits), bits).collect()}
+        assert set(range(0, 3000, 3)) <= got and len(got) <= 1000 + most
+    assert may_be_among(rows, ["a", "b"], key_filter(keys.limit(0), ["a", "b"])).count() == 0
+    nulls = spark.createDataFrame([(None, "x"), (None, None)], "a string, b string")
+    assert may_be_among(nulls, ["a", "b"], key_filter(nulls, ["a", "b"])).count() == 2
 
 
 def test_orphans_at_the_edges_of_a_lifetime(spark):
