@@ -2,9 +2,10 @@
 
 Exact offset chunking.  Rows are pre-aggregated per (key, group, member), which
 also folds copies, then sorted by that order over equal ranges.  Counting rows
-per sorted partition and prefix-summing the counts numbers every row; a chunk is
-``chunk_rows`` consecutive numbers, so a chunk never outgrows that size and a hot
-key simply spans many chunks.  Each (key, chunk) yields a small ordered state;
+per sorted partition and prefix-summing the counts numbers every row.  A chunk is
+``chunk_rows`` consecutive numbers: unless given, the rows are cut into
+``CHUNKS_PER_TASK`` equal chunks a shuffle partition, of at most ``MOST_ROWS``, so
+that a key that would overburden a task spans several.  Each (key, chunk) yields a small ordered state;
 the states of a key are merged in chunk order, a group that crosses a chunk
 boundary being counted once because the left state's last group equals the right
 state's first.
@@ -19,10 +20,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.ordering import global_index
+from skein.operators.ordering import numbered
 
 
-def key_profile(df: DataFrame, key: str, group: str, member: str, at: str, chunk_rows: int = 1_000_000) -> DataFrame:
+CHUNKS_PER_TASK = 4
+MOST_ROWS = 1_000_000
+
+
+def key_profile(df: DataFrame, key: str, group: str, member: str, at: str, chunk_rows: int | None = None) -> DataFrame:
     """Per ``key``: n_rows, n_groups, n_members (distinct (group, member)), first_at, last_at."""
     pre = (
         df.where(F.col(key).isNotNull())
@@ -30,9 +35,12 @@ def key_profile(df: DataFrame, key: str, group: str, member: str, at: str, chunk
         .groupBy("k", "g", "m")
         .agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
     )
-    numbered = global_index(pre, ["k", "g", "m"], out="gno", label="keys")
+    rows, total = numbered(pre, ["k", "g", "m"], out="gno", label="keys")
+    if chunk_rows is None:
+        chunks = CHUNKS_PER_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        chunk_rows = min(MOST_ROWS, max(1, -(-total // chunks)))
     states = (
-        numbered.withColumn("chunk", F.floor(F.col("gno") / chunk_rows))
+        rows.withColumn("chunk", F.floor(F.col("gno") / chunk_rows))
         .groupBy("k", "chunk", "g")
         .agg(
             F.sum("n").alias("n"),

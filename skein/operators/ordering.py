@@ -18,7 +18,11 @@ _LOCAL_BITS = 33
 
 
 def global_index(df: DataFrame, keys: list[str | Column], out: str = "gno", label: str = "sorted") -> DataFrame:
-    """``df`` plus a dense 0-based bigint ``out`` in the order of ``keys``.
+    return numbered(df, keys, out, label)[0]
+
+
+def numbered(df: DataFrame, keys: list[str | Column], out: str = "gno", label: str = "sorted") -> tuple[DataFrame, int]:
+    """``df`` plus a dense 0-based bigint ``out`` in the order of ``keys``, and the number of rows.
 
     Rows that tie on every key share a partition, so ``keys`` should end in
     something that tells copies apart.  An empty input gives an empty frame.
@@ -39,9 +43,10 @@ def global_index(df: DataFrame, keys: list[str | Column], out: str = "gno", labe
     offsets = df.sparkSession.createDataFrame(
         [(p, s) for (p, _), s in zip(sizes, starts)], "_part bigint, _start bigint"
     )
-    return (
+    frame = (
         written.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
         .withColumn(out, F.col("_start") + local)
         .drop("_part", "_start", "_at")
     )
+    return frame, starts[-1]

@@ -111,9 +111,9 @@ def profile_by_hand(rows):
     }
 
 
-@pytest.mark.parametrize("chunk_rows", [1, 3, 17, 1_000_000])
+@pytest.mark.parametrize("chunk_rows", [1, 3, 17, 1_000_000, None])
 def test_profile_equals_brute_force(spark, chunk_rows):
-    rng = random.Random(chunk_rows)
+    rng = random.Random(chunk_rows or 0)
     rows = [(rng.choice(["hot", "hot", "hot", "a", "b", "", None]), rng.choice(["x", "y", "z", None]), rng.choice(["f", "g", "h", "i", None]), rng.choice([None, T0, day(3), day(9)])) for _ in range(400)]
     rows += [("hot", "x", "f", T0)] * 200 + [("null only", None, None, None)]
     df = spark.createDataFrame([(*r, 1) for r in rows], ROW).repartition(5)
