@@ -191,7 +191,9 @@ class Rows:
         return out
 
     def pick(self, which: np.ndarray) -> Rows:
-        return Rows.of([self.flat[self.starts[i] : self.starts[i + 1]] for i in which])
+        ends = np.concatenate(([0], np.cumsum(self.starts[which + 1] - self.starts[which]))).astype(np.int64)
+        at = np.repeat(self.starts[which] - ends[:-1], np.diff(ends)) + np.arange(ends[-1])
+        return Rows(self.flat[at], ends)
 
 
 #: Offsets of the words of a feature: n-grams and, with gaps, skip-grams.
@@ -204,8 +206,9 @@ def _word_hash(word: str) -> int:
     return zlib.crc32(word.encode()) << 32 | zlib.adler32(word.encode())
 
 
-def features(found: list[tuple[str, ...]], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed features of passages, all at once: (passage, feature) pairs in order."""
+def features(found: list[tuple[str, ...]], bits: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed features of passages, all at once: (passage, feature) pairs in
+    order, only those ``wanted`` (a flag a feature) if given."""
     words = np.fromiter((_word_hash(w) for p in found for w in p), np.uint64)
     owner = np.repeat(np.arange(len(found)), [len(p) for p in found])
     pairs = []
@@ -220,8 +223,12 @@ def features(found: list[tuple[str, ...]], bits: int) -> tuple[np.ndarray, np.nd
             key ^= key >> np.uint64(31)
         key = (key * _MIX2) >> np.uint64(64 - bits)
         inside = owner[:n] == owner[last:]
+        if wanted is not None:
+            inside &= wanted[key]
         pairs.append((owner[:n][inside] << bits) | key[inside].astype(np.int64))
-    pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+    pair = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
+    pair.sort()
+    pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
     return pair >> bits, pair & ((1 << bits) - 1)
 
 
@@ -262,11 +269,10 @@ class Ftrl:
             order = rng.permutation(len(rows))
             for at in range(0, len(order), batch):
                 ids = order[at : at + batch]
-                lengths = rows.starts[ids + 1] - rows.starts[ids]
-                flat = np.concatenate([rows.flat[rows.starts[i] : rows.starts[i + 1]] for i in ids])
-                uniq, inverse = np.unique(flat, return_inverse=True)
+                some = rows.pick(ids)
+                uniq, inverse = np.unique(some.flat, return_inverse=True)
                 w = self.weights(uniq)
-                which = np.repeat(np.arange(len(ids)), lengths)
+                which = np.repeat(np.arange(len(ids)), np.diff(some.starts))
                 margin = np.bincount(which, w[inverse], len(ids)) + self.bias
                 p = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
                 g = (p - labels[ids]) * importance[ids]
@@ -408,6 +414,7 @@ class Scorer:
 
     def __init__(self, model: AbuseModel, at_once: int = 4_000):
         self.model, self.weights, self.at_once = model, model.dense(), at_once
+        self.wanted = self.weights != 0
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """Of each text the probability that its worst passage is a case."""
@@ -417,7 +424,7 @@ class Scorer:
 
         def flush() -> None:
             if found:
-                at, feature = features(found, self.model.bits)
+                at, feature = features(found, self.model.bits, self.wanted)
                 margin = np.bincount(at, self.weights[feature], len(found)) + self.model.bias
                 np.maximum.at(out, owner, 1 / (1 + np.exp(-np.clip(margin, -35, 35))))
                 found.clear()
