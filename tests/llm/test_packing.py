@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from skein.llm.packing import fill_report, layout, pack_documents, pack_histogram
+from skein.llm.packing import Pattern, fill_report, layout, pack_check, pack_documents, pack_histogram, step_groups, tiers_of
 from skein.llm.tokens import encoding, DEFAULT_RANKS, sized
 
 
@@ -67,9 +67,35 @@ def test_documents_are_placed_whole(spark, sizes):
         assert sorted(spans) == list(range(len(spans)))
         pieces = sum(-(-n // capacity) for n in sizes)
         assert len(own) == pieces  # only what is larger than a container is cut
-        steps = Counter(r["step_group"] for r in {r["container"]: r for r in own}.values())
-        assert max(steps.values()) <= 2
+        assert {r["step_group"] for r in own} == set(range(-(-len(spans) // 2)))
+        assert all(r["n_tokens"] <= r["tier_tokens"] <= capacity for r in own)
     assert fill_report(packed).count() == 2
+    for r in pack_check(packed).collect():
+        assert (r["documents"], r["overfull"], r["overlapping"], r["needlessly_split"]) == (len(sizes), 0, 0, 0)
+
+
+def test_longer_tiers_open_and_shorter_ones_fill():
+    assert tiers_of(256, 4) == [32, 64, 128, 256] and tiers_of(1, 4) == [1] and tiers_of(10, 1) == [10]
+    # 6 and 5 are of the tier of 10, packed on their own; 3 and 4 fill what they leave, the rest are packed last
+    patterns = pack_histogram({6: 2, 5: 2, 4: 1, 3: 4}, 10, tiers=2)
+    assert sorted(p.runs for p in patterns) == sorted([((5, 2),), ((6, 1), (3, 1)), ((6, 1), (4, 1)), ((3, 3),)])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_step_groups_are_dealt_largest_first(seed):
+    rng = random.Random(seed)
+    patterns = [Pattern(rng.randint(1, 30), 0, ((rng.randint(1, 50), 1),)) for _ in range(40)]
+    patterns.sort(key=lambda p: -p.cost)
+    n = sum(p.repeat for p in patterns)
+    groups = -(-n // 8)
+    starts, first = step_groups(patterns, groups)
+    load, by_hand = [0] * groups, [0] * groups
+    for container, cost in enumerate(c for p in patterns for c in [p.cost] * p.repeat):
+        j = max(i for i, s in enumerate(starts) if s <= container)
+        load[first[j] + container - starts[j]] += cost
+        by_hand[by_hand.index(min(by_hand))] += cost
+    assert max(load) <= max(by_hand) * 1.02 and max(load) <= 1.05 * sum(load) / groups
+    assert len(step_groups([Pattern(10**12, 0, ((3, 1),))], 10**11)[0]) == 10
 
 
 def test_empty(spark):
