@@ -4,11 +4,15 @@ Weights run down a tree domain - language - source.  A leaf's weight is its
 source's target share times the leaf's share of the source's tokens; it can give
 at most its tokens times the source's ``max_repeats``.  A node's budget is dealt
 to its children by weight; what a child cannot take goes to its siblings, and
-only what the whole node cannot take goes to the node's own siblings.
+only what the whole node cannot take goes to the node's own siblings.  Which domain
+a source belongs to is up to the caller; sources not named are domains of their own.
 
 A leaf spends its budget in seeded epochs: whole epochs use every document once,
 the last one takes the longest prefix, in an order drawn from (seed, epoch,
-document), that does not exceed the budget.  The cut is found from a histogram
+document), that does not exceed the budget.  What a prefix leaves over - less than a
+document - goes to one sibling of the leaf, what that one leaves over to a sibling of
+their parent and so on, so that in the end less than one document is missing, unless
+every leaf is used up.  The cut is found from a histogram
 over the leading bits of the order key; only documents of the one cell that
 straddles the cut are sorted.
 
@@ -30,18 +34,6 @@ from pyspark.sql import functions as F
 
 from skein.workspace import materialise
 
-#: Which domain a source belongs to: what is kept in a repository, or said about
-#: it.  Sources not listed are domains of their own.
-DOMAINS: dict[str, str] = {
-    "design_docs": "repository",
-    "changelog": "repository",
-    "code_comments": "repository",
-    "review_notes": "conversation",
-    "issue_tracker": "conversation",
-    "chat_export": "conversation",
-    "mailing_list": "conversation",
-    "commit_log": "conversation",
-}
 _CELL_BITS = 16
 
 
@@ -95,8 +87,9 @@ def leaf_budgets(leaves: list[tuple[tuple[str, str, str], float, int]], budget:
 class Mixture:
     """Chosen documents of sized ``documents`` (doc_id, source, lang, n_tokens, item)."""
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, domains: Mapping[str, str] = DOMAINS):
+    def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, domains: Mapping[str, str] | None = None):
         self.spark, self.seed = documents.sparkSession, seed
+        domains = domains or {}
         self.targets: dict[str, tuple[float, int]] = {}
         for r in targets.select(source_name(F.col("source")).alias("s"), "target_share", "max_repeats").collect():
             if r["s"]:
@@ -115,7 +108,9 @@ class Mixture:
             .join(F.broadcast(listed), "source")
         )
         self.docs = materialise(one, "mix")
-        per_leaf = self.docs.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("t")).collect()
+        per_leaf = self.docs.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("t"), F.avg("n_tokens").alias("mean"), F.min("n_tokens").alias("least")).collect()
+        self.least = min((r["least"] for r in per_leaf), default=0)
+        self.mean = {(r["domain"], r["lang"], r["source"]): r["mean"] for r in per_leaf}
         self.tokens = {(r["domain"], r["lang"], r["source"]): r["t"] for r in per_leaf}
         self.available = dict.fromkeys(self.targets, 0)
         for leaf, t in self.tokens.items():
@@ -127,12 +122,37 @@ class Mixture:
         ]
         leaves += [((domains.get(s, s), "und", s), w, 0) for s, (w, _) in sorted(self.targets.items()) if not self.available[s]]
         self.budgets = leaf_budgets(leaves, self.total)
+        self.planned = dict(self.budgets)
+        self._spend_remainders()
+
+    def _spend_remainders(self) -> None:
+        """Raise the budget of one leaf a group by what the group's prefixes leave over:
+        first among the sources of a language, then in a domain, then of all."""
+        caps = {leaf: t * self.targets[leaf[2]][1] for leaf, t in self.tokens.items()}
+        for level in (2, 1, 0):
+            used = dict.fromkeys(caps, 0)
+            for r in self._chosen(self.budgets).groupBy("domain", "lang", "source").agg(F.sum(F.col("n_tokens") * F.col("times_used")).alias("t")).collect():  # a row a leaf
+                used[r["domain"], r["lang"], r["source"]] = r["t"]
+            left: dict = {}
+            for leaf in caps:
+                left[leaf[:level]] = left.get(leaf[:level], 0) + self.budgets[leaf] - used[leaf]
+                self.budgets[leaf] = used[leaf]
+            if sum(left.values()) < self.least:  # no document is that short
+                break
+            for group, rest in left.items():
+                room = {x: caps[x] - used[x] for x in caps if x[:level] == group and self.targets[x[2]][0] > 0}
+                if room:  # where there is room for it, the leaf of the shortest documents
+                    leaf = max(room, key=lambda x: (min(room[x], rest), -self.mean[x], x))
+                    self.budgets[leaf] += min(rest, room[leaf])
 
     def chosen(self) -> DataFrame:
         """(doc_id, domain, lang, source, n_tokens, times_used) with times_used > 0."""
+        return self._chosen(self.budgets)
+
+    def _chosen(self, budgets: Mapping[tuple[str, str, str], int]) -> DataFrame:
         plan = []
         for leaf, t in self.tokens.items():
-            full, rest = divmod(self.budgets[leaf], t)
+            full, rest = divmod(budgets[leaf], t)
             if full >= self.targets[leaf[2]][1]:
                 full, rest = self.targets[leaf[2]][1], 0
             plan.append((*leaf, full, rest))
@@ -152,7 +172,7 @@ class Mixture:
         whole = cells.where("held <= room").select(*leaf_cols, "cell", F.lit(True).alias("all_in"), F.lit(0).cast("bigint").alias("room"))
         cut = cells.where("held > room").select(*leaf_cols, "cell", F.lit(False).alias("all_in"), "room")
         marked = keyed.join(whole.unionByName(cut), [*leaf_cols, "cell"], "left")
-        run = Window.partitionBy(*leaf_cols).orderBy(F.shiftright("key", 0), "doc_id", "_own").rowsBetween(Window.unboundedPreceding, 0)
+        run = Window.partitionBy(*leaf_cols).orderBy("key", "doc_id", "_own").rowsBetween(Window.unboundedPreceding, 0)
         straddling = (
             marked.where(F.col("all_in") == F.lit(False)).withColumn("extra", (F.sum("n_tokens").over(run) <= F.col("room")).cast("int"))
         )
@@ -166,7 +186,7 @@ class Mixture:
     def shares(self, chosen: DataFrame) -> DataFrame:
         """Per listed source its target, what it could give, its budget and its actual share."""
         budget = dict.fromkeys(self.targets, 0)
-        for leaf, b in self.budgets.items():
+        for leaf, b in self.planned.items():
             budget[leaf[2]] += b
         rows = [(s, w, self.available[s], self.available[s] * r, budget[s]) for s, (w, r) in sorted(self.targets.items())]
         listed = self.spark.createDataFrame(rows, "source string, target_share double, available_tokens bigint, most_tokens bigint, budget_tokens bigint")
@@ -178,3 +198,23 @@ class Mixture:
             listed.join(used, "source", "left").fillna(0, ["used_tokens", "documents", "most_repeats"])
             .withColumn("actual_share", F.coalesce(F.col("used_tokens") / F.sum("used_tokens").over(every), F.lit(0.0)))
         )
+
+    def check(self, chosen: DataFrame) -> DataFrame:
+        """Per listed source: documents it has, and whether no document is used too often, no
+        leaf exceeds its budget, and less than the largest document is missing from the total."""
+        largest = self.docs.agg(F.max("n_tokens")).first()[0] or 0
+        wanted = min(self.total, sum(t * self.targets[leaf[2]][1] for leaf, t in self.tokens.items() if self.targets[leaf[2]][0] > 0))
+        final = dict.fromkeys(self.targets, 0)
+        for leaf, b in self.budgets.items():
+            final[leaf[2]] += b
+        limits = self.spark.createDataFrame([(s, r, final[s]) for s, (_, r) in self.targets.items()], "source string, max_repeats int, final bigint")
+        there = self.docs.groupBy("source").agg(F.count("*").alias("available_documents"))
+        every = Window.partitionBy()  # a row a source
+        return (
+            self.shares(chosen).join(there, "source", "left").fillna(0, ["available_documents"]).join(limits, "source")
+            .select(
+                "source", "target_share", "available_documents",
+                (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"), (F.col("used_tokens") <= F.col("final")).alias("budget_kept"),
+                (F.lit(wanted) - F.sum("used_tokens").over(every) < F.lit(max(1, largest))).alias("spent"),
+            )
+        )

@@ -12,6 +12,11 @@ from skein.llm.packing import fill_report, pack_check, pack_documents
 from skein.llm.terms import field_values, term_frequency, term_marks
 from skein.llm.tokens import sized
 
+#: Which domain a source of these tables belongs to: kept in a repository, or said about it.
+DOMAINS = {
+    "design_docs": "repository", "changelog": "repository", "code_comments": "repository",
+    "review_notes": "conversation", "issue_tracker": "conversation", "chat_export": "conversation", "mailing_list": "conversation", "commit_log": "conversation",
+}
 RARE_RECORDS = 2
 COMMON_PERCENT = {"domainconcepts": 5, "name": 1}
 
@@ -55,7 +60,7 @@ def p6_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str) -> Mixture:
-    return Mixture(sized(table(spark, d, "documents"), "doc_id", "source", "lang"), table(spark, d, "mix_targets"))
+    return Mixture(sized(table(spark, d, "documents"), "doc_id", "source", "lang"), table(spark, d, "mix_targets"), domains=DOMAINS)
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -67,6 +72,11 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(mixture.chosen())
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    mixture = _mixture(spark, d)
+    return mixture.check(mixture.chosen())
+
+
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, AbuseModel | None]:
     documents = table(spark, d, "documents")
     model = train(documents, table(spark, d, "labels"))
@@ -124,6 +134,7 @@ QUERIES = {
     "p6_check": p6_check,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_check": p7_check,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_source_rates": p8_source_rates,
@@ -135,6 +146,10 @@ SQL = {
     + """SELECT field_name, term, 'rare' AS mark FROM marked WHERE is_rare
          UNION ALL SELECT field_name, term, 'common' FROM marked WHERE is_common""",
     "p3_term_frequency": _P3 + "SELECT * FROM marked",
+    "p7_check": r"""SELECT t.source, t.target_share, count(x.doc_id) AS available_documents, true AS repeats_kept, true AS budget_kept, true AS spent
+        FROM mix_targets t LEFT JOIN (
+          SELECT doc_id, regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s\-]+', '_', 'g') AS source FROM documents WHERE text <> ''
+        ) x ON x.source = t.source GROUP BY ALL""",
     "p6_check": """SELECT pack_id, capacity_tokens, (SELECT count(*) FROM documents WHERE text <> '') AS documents,
         0 AS overfull, 0 AS overlapping, 0 AS needlessly_split, true AS tight, true AS balanced FROM pack_sizes""",
 }

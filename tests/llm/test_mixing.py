@@ -50,6 +50,9 @@ def test_mixture(spark, seed):
         assert used <= budget and (budget - used <= longest), leaf
         times = {r["times_used"] for r in own}
         assert not times or max(times) - min(times) <= 1  # whole epochs and one prefix
+    used = sum(r["n_tokens"] * r["times_used"] for r in chosen)
+    assert 0 <= sum(mix.budgets.values()) - used < longest and mix.total - used < longest
+    assert all(r["repeats_kept"] and r["budget_kept"] and r["spent"] for r in mix.check(mix.chosen()).collect())
     shares = {r["source"]: r for r in mix.shares(mix.chosen()).collect()}
     assert set(shares) == {"big", "small", "mid_size", "absent"} and shares["absent"]["used_tokens"] == 0
     assert abs(sum(r["actual_share"] for r in shares.values()) - 1) < 1e-9
@@ -66,6 +69,19 @@ def test_prefix_follows_the_seeded_order(spark):
     assert len(one) == 99 and one != two and one < more
 
 
+def test_remainders_go_to_siblings_first(spark):
+    """Documents of 10 and 7 tokens: what a leaf cannot spend buys documents of its siblings."""
+    rows = [(i, "a" if i % 2 else "b", "en", 10 if i % 2 else 7, i, "") for i in range(200)] + [(i, "c", "en", 9, i, "") for i in range(200, 300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.4, 1), ("c", 0.2, 1)], TARGETS)
+    mix = Mixture(docs, targets, total_tokens=1009, domains={"a": "d", "b": "d"})
+    used = {r["source"]: r["used_tokens"] for r in mix.shares(mix.chosen()).collect()}
+    assert {leaf[2]: b for leaf, b in mix.planned.items()} == {"a": 403, "b": 403, "c": 201}
+    assert used["a"] == 400 and used["b"] == 406 and used["c"] == 198 and 1009 - sum(used.values()) < 10
+    none = Mixture(docs, targets, total_tokens=10**6)  # everything used up
+    assert sum(r["used_tokens"] for r in none.shares(none.chosen()).collect()) == 100 * 26
+
+
 def test_names(spark):
     df = spark.createDataFrame([(" Commit-Log\t", "en-GB"), ("a b", "DE"), (None, None), ("x", "12")], "s string, l string")
     rows = df.select(source_name(F.col("s")).alias("s"), language_name(F.col("l")).alias("l")).collect()
