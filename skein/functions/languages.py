@@ -72,6 +72,16 @@ _MASKS = {"typescript": _C_LIKE, "tsx": _C_LIKE, "go": _C_LIKE, "php": _PHP, "py
 _VISIBLE = re.compile(r"[^\n]")
 
 
+def without_comments(text: str, language: str) -> str:
+    """``text`` with comments blanked, offsets and string literals unchanged; an unknown
+    language is read like one that writes // and /* */."""
+
+    def blank(m: re.Match) -> str:
+        return _VISIBLE.sub(" ", m.group(0)) if m.group("comment") else m.group(0)
+
+    return _MASKS.get(language, _C_LIKE).sub(blank, text)
+
+
 def mask(text: str, language: str) -> str:
     """``text`` with comments and string contents blanked, offsets unchanged."""
 
