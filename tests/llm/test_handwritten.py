@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -62,7 +63,29 @@ def test_empty(spark):
     assert H.not_handwritten(out).count() == 0
 
 
+def test_trigrams_against_brute_force():
+    rng = random.Random(6)
+    for words in ([], [""], ["a"], ["abc", "abc", "b_9"], ["".join(rng.choice("abc_1") for _ in range(rng.randint(1, 9))) for _ in range(50)]):
+        by_hand = Counter(p[i : i + 3] for p in (f"^^{w}$" for w in words) for i in range(len(p) - 2))
+        at, n = H.trigrams(words, H.SYMBOLS, H._NAME_CODES)
+        k = len(H.SYMBOLS)
+        assert {H.SYMBOLS[a // k // k] + H.SYMBOLS[a // k % k] + H.SYMBOLS[a % k]: c for a, c in zip(at.tolist(), n.tolist())} == by_hand
+
+
 def test_model_counts_each_file_once(spark):
-    files = spark.createDataFrame([("go", "abc " * 50), ("go", " ".join(f"zz{i}q" for i in range(500)))], "lang string, content string")
-    model = H.NameModel(H.train_names(files))
-    assert model.entropy("abc", 3) < model.entropy("qqq", 3)
+    files = spark.createDataFrame([("a", "go", "abc " * 50), ("b", "go", " ".join(f"zz{i}q" for i in range(500))), ("c", "Go ", None)], "relpath string, lang string, content string")
+    _, model = H._read(files, ("relpath",))
+    held = {r["gram"]: r["w"] for r in model.groupBy("gram").sum("weight").toDF("gram", "w").collect()}
+    abc, _ = H.trigrams(["abc"], H.SYMBOLS, H._NAME_CODES)
+    assert sum(held[g] for g in abc.tolist()) == pytest.approx(1_000_000, abs=4) and sum(held.values()) == pytest.approx(2_000_000, rel=0.01)
+
+
+def test_comment_marks_in_strings_and_short_files(spark):
+    """A path pattern in a string begins no comment; a file is not exempt for being small."""
+    rng = random.Random(8)
+    hidden = 'const at = "lib/*/x.ts";\n' + odd(rng)["mangled"] + '\nconst end = "*/";\n'
+    small = "const B = '" + " ".join(f"{rng.getrandbits(16):04x}" for _ in range(12)) + "';\n"
+    rows = [("p", f"plain{i}.ts", "typescript", plain(rng), "") for i in range(80)] + [("p", "hidden.ts", "typescript", hidden, ""), ("p", "small.ts", "typescript", small, "")]
+    judged = H.judge_files(spark.createDataFrame(rows, SCHEMA))
+    assert {r["relpath"] for r in H.not_handwritten(judged).collect()} == {"hidden.ts", "small.ts"}
+    assert {r["relpath"]: r["end_line"] for r in judged.collect()}["small.ts"] == 2
