@@ -82,6 +82,49 @@ def without_comments(text: str, language: str) -> str:
     return _MASKS.get(language, _C_LIKE).sub(blank, text)
 
 
+_TEMPLATE = re.compile(r"\\[\s\S]|`|\$\{")
+_IN_TEMPLATE = re.compile(
+    r"""(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?)|(?P<mark>[`{}])"""
+)
+
+
+def _mask_templates(text: str, blank: Callable[[re.Match], str]) -> str:
+    """Like the mask of C-like languages, but what a template literal inserts stays code."""
+    out: list[str] = []
+    open_: list[int] = []  # of every inserted piece of code how many braces are open in it
+    at = 0
+    while m := _IN_TEMPLATE.search(text, at):
+        out.append(text[at : m.start()])
+        at, mark = m.end(), m.group("mark")
+        if not mark:
+            out.append(blank(m))
+            continue
+        if mark == "{" and open_:
+            open_[-1] += 1
+        elif mark == "}" and open_:
+            open_[-1] -= 1
+        out.append(mark)
+        if mark == "`" or mark == "}" and open_ and open_[-1] < 0:  # a literal begins, or goes on
+            if mark == "}":
+                open_.pop()
+            while True:
+                t = _TEMPLATE.search(text, at)
+                end = t.end() if t else len(text)
+                if not t or t.group() == "`":
+                    out.append(_VISIBLE.sub(" ", text[at : end - bool(t)]) + "`" * bool(t))
+                    at = end
+                    break
+                if t.group() == "${":
+                    out.append(_VISIBLE.sub(" ", text[at : end - 1]) + "{")
+                    open_.append(0)
+                    at = end
+                    break
+                out.append(_VISIBLE.sub(" ", text[at:end]))
+                at = end
+    out.append(text[at:])
+    return "".join(out)
+
+
 def mask(text: str, language: str) -> str:
     """``text`` with comments and string contents blanked, offsets unchanged."""
 
@@ -89,10 +132,12 @@ def mask(text: str, language: str) -> str:
         whole = m.group(0)
         if m.lastgroup == "comment" or m.group("comment"):
             return _VISIBLE.sub(" ", whole)
-        if m.groupdict().get("heredoc"):
+        if "heredoc" in m.groupdict() and m.group("heredoc"):
             return _VISIBLE.sub(" ", whole)
         if len(whole) < 2:
             return whole
         return whole[0] + _VISIBLE.sub(" ", whole[1:-1]) + whole[-1]
 
+    if "`" in text and language in ("typescript", "tsx"):
+        return _mask_templates(text, blank)
     return _MASKS[language].sub(blank, text)

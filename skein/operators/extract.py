@@ -23,17 +23,23 @@ _FILE_BITS = 24
 
 
 def captures(files: DataFrame) -> DataFrame:
-    """Captures of ``files`` (seq, project, relpath, lang, content); unreadable
-    files (null content) and unknown languages have none."""
+    """Captures of ``files`` (seq, project, relpath, lang, content), after one of the tag
+    ``file`` for each file that was read.  A file that cannot be parsed has a single
+    capture of the tag ``error`` that says why; unreadable files (null content) and
+    unknown languages have none."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for f in batch.itertuples(index=False):
+                place = (f.seq, f.project, f.relpath, f.lang)
                 try:
-                    rows += [(f.seq, f.project, f.relpath, f.lang, *c) for c in captures_of(f.content, f.lang)]
-                except RecursionError:
+                    found = captures_of(f.content, f.lang)
+                except Exception as e:  # whatever one file does, the others go on
+                    rows.append((*place, -1, "error", f"{type(e).__name__}: {e}", 0, 0, 0, ""))
                     continue
+                rows.append((*place, -1, "file", f.relpath, 0, 0, f.content.count("\n"), f.relpath))
+                rows += [(*place, *c) for c in found]
             yield pd.DataFrame(rows, columns=["fileseq", "project", "filepath", "lang", "idx", "tag", "text", "startrow", "startcol", "endrow", "line"])
 
     known = sorted({p.name for p in Registry().by_extension.values()})
@@ -41,12 +47,17 @@ def captures(files: DataFrame) -> DataFrame:
     return readable.select("seq", "project", "relpath", "lang", "content").mapInPandas(read, CAPTURES)
 
 
-def file_nodes(files: DataFrame) -> DataFrame:
-    """One node per file; a trailing line break counts as one more line."""
-    return files.select(
-        (F.col("seq") * (1 << _FILE_BITS)).alias("seq"), "project", F.col("relpath").alias("id"), F.lit("file").alias("type"),
-        F.col("relpath").alias("name"), F.col("relpath").alias("filepath"), F.lit(1).alias("startline"),
-        F.size(F.split("content", "\n", -1)).alias("endline"), F.lit("none").alias("exporttype"), F.col("relpath").alias("signature"),
+def parse_errors(found: DataFrame) -> DataFrame:
+    """(project, filepath, error) of the files that could not be parsed."""
+    return found.where(F.col("tag") == "error").select("project", "filepath", F.col("text").alias("error"))
+
+
+def file_nodes(found: DataFrame) -> DataFrame:
+    """One node per file read; a trailing line break counts as one more line."""
+    return found.where(F.col("tag") == "file").select(
+        (F.col("fileseq") * (1 << _FILE_BITS)).alias("seq"), "project", F.col("filepath").alias("id"), F.lit("file").alias("type"),
+        F.col("filepath").alias("name"), "filepath", F.lit(1).alias("startline"),
+        (F.col("endrow") + 1).alias("endline"), F.lit("none").alias("exporttype"), F.col("filepath").alias("signature"),
         F.lit(None).cast(semantic_type()).alias("semantic"),
     )
 
@@ -69,7 +80,7 @@ def with_context(found: DataFrame) -> DataFrame:
     )
 
 
-def captures_to_graph(files: DataFrame, found: DataFrame, registry: Registry | None = None) -> Graph:
+def captures_to_graph(found: DataFrame, registry: Registry | None = None) -> Graph:
     """Nodes and edges of the captures; of nodes with one id the first holds."""
     placed = with_context(found)
     seq = (F.col("fileseq") * (1 << _FILE_BITS) + F.col("idx") + 1).alias("seq")
@@ -82,7 +93,7 @@ def captures_to_graph(files: DataFrame, found: DataFrame, registry: Registry | N
         F.when(F.col("exported") & (F.col("tag") != "method"), "named").otherwise("none").alias("exporttype"),
         F.col("line").alias("signature"), F.lit(None).cast(semantic_type()).alias("semantic"),
     )
-    nodes = dedupe_first(file_nodes(files).unionByName(entities))
+    nodes = dedupe_first(file_nodes(found).unionByName(entities))
     edges = found.where(F.col("tag").isin("import", "call")).select(
         seq, "project", F.col("filepath").alias("sourceid"),
         F.when(F.col("tag") == "import", F.regexp_replace("text", "['\"]", "")).otherwise(F.col("text")).alias("targetid"),
@@ -96,6 +107,6 @@ def captures_to_graph(files: DataFrame, found: DataFrame, registry: Registry | N
 
 
 def build_graph(files: DataFrame, registry: Registry | None = None) -> Graph:
-    """The graph of ``files``; each file is read once."""
-    readable = files.where(F.col("content").isNotNull())
-    return captures_to_graph(readable, captures(readable), registry)
+    """The graph of ``files``; a file that is unreadable, in an unknown language or
+    cannot be parsed gives nothing."""
+    return captures_to_graph(captures(files), registry)
