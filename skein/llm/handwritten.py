@@ -52,6 +52,7 @@ _TOKEN = re.compile(r"[A-Za-z0-9_]+")
 _FUNCTION = re.compile(r"\b(?:function|def|func)\s+(?:\([^)\n]*\)\s*)?([A-Za-z_]\w*)|^([A-Za-z_]\w*)\(\)\s*\{", re.M)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _UNIT = 1_000_000  # weight of a file
+_AT_ONCE = 500  # files whose figures a worker holds
 _FIGURES = "functions int, first_words double, last_words double, end_line int"
 
 
@@ -82,7 +83,7 @@ def trigrams(words: list[str], symbols: str, codes: np.ndarray) -> tuple[np.ndar
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     n = len(symbols)
-    c = codes[np.frombuffer(("^^" + "$^^".join(words) + "$").encode(), np.uint8)]
+    c = codes[np.frombuffer(("^^" + "$^^".join(words) + "$").lower().encode(), np.uint8)]
     inside = c[2:] != symbols.index("^")
     return np.unique(((c[:-2] * n + c[1:-1]) * n + c[2:])[inside], return_counts=True)
 
@@ -114,14 +115,14 @@ def read_file(content: str | None, lang: str | None) -> dict:
     """What a pass over one text leaves of it."""
     text = without_comments(content, (lang or "").strip().lower()) if content else ""
     tokens = _TOKEN.findall(text)
-    names = [x.lower() for x in dict.fromkeys(tokens) if not x[0].isdigit()]
+    names = [x for x in dict.fromkeys(tokens) if not x[0].isdigit()]
     stamped = [w for w in (name_words(a or b) for a, b in _FUNCTION.findall(text)) if w]
     first, last = [w[0] for w in stamped], [w[-1] for w in stamped]
     out = {"functions": len(stamped), "first": first, "last": last, "end_line": content.count("\n") + 1 if content is not None else None}
     out["first_words"], out["last_words"] = (effective(first), effective(last)) if stamped else (0.0, 0.0)
     for kind, (at, n) in {
         "name": trigrams(names, SYMBOLS, _NAME_CODES),
-        "token": trigrams([x.lower() for x in tokens], SYMBOLS, _NAME_CODES),
+        "token": trigrams(tokens, SYMBOLS, _NAME_CODES),
     }.items():
         out[kind], out[f"{kind}_n"] = at.astype(np.int32), n.astype(np.int32)
     at, n = trigrams([form_of(w) for w in stamped], FORMS, _FORM_CODES)
@@ -145,7 +146,7 @@ def _read(files: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros((len(LANGUAGES) + 1, len(SYMBOLS) ** 3), np.int64)
-        for batch in batches:
+        for batch in (b.iloc[at : at + _AT_ONCE] for b in batches for at in range(0, len(b), _AT_ONCE)):
             rows = [read_file(c, lang) for c, lang in zip(batch["content"], batch["lang"])]
             for language, row in zip(batch["language"], rows):
                 if len(row["name"]):
@@ -165,10 +166,11 @@ def _read(files: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame
     return rows.where("gram is null").drop("gram", "weight"), rows.where("gram is not null").select("language", "gram", "weight")
 
 
-def _dense(rows: list, languages: int, size: int) -> np.ndarray:
+def _dense(weights: DataFrame, languages: int, size: int) -> np.ndarray:
+    """Weights (language, gram, weight), at most ``languages`` times ``size``, as an array."""
+    rows = weights.toArrow()
     table = np.zeros((languages, size))
-    for r in rows:
-        table[r["language"], r["gram"]] = r["weight"] / _UNIT
+    table[rows["language"].to_numpy(), rows["gram"].to_numpy()] = rows["weight"].to_numpy() / _UNIT
     return table
 
 
@@ -215,7 +217,6 @@ def _with_forms(profiles: DataFrame, learn: Column, lean: int) -> DataFrame:
         .select("language", "functions", F.explode(pairs).alias("p"))
         .groupBy("language", F.col("p.gram").alias("gram"))
         .agg(F.sum(F.col("p.n") * F.lit(_UNIT) / F.col("functions")).alias("weight"))
-        .collect()  # at most 125 rows a language
     )
     bits = bits_of(_dense(learnt, len(LANGUAGES) + 1, n**3), n)
     table = spark.createDataFrame([(i, [float(x) for x in b]) for i, b in enumerate(bits)], "language int, bits array<double>")
@@ -229,7 +230,7 @@ def judge_files(files: DataFrame, limits: Limits = Limits(), keep: tuple[str, ..
     of mangled, data, template and foreign."""
     spark = files.sparkSession
     read, model = _read(files, keep)
-    grams = model.groupBy("language", "gram").agg(F.sum("weight").alias("weight")).collect()  # bounded by languages times symbols cubed
+    grams = model.groupBy("language", "gram").agg(F.sum("weight").alias("weight"))
     shared = spark.sparkContext.broadcast(bits_of(_dense(grams, len(LANGUAGES) + 1, len(SYMBOLS) ** 3), len(SYMBOLS), 0.005).astype(np.float32))
 
     def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
