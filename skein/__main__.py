@@ -46,5 +46,9 @@ def main(argv: list[str]) -> int:
     return 0
 
 
-if __name__ == "__main__":
+def run() -> None:
     sys.exit(main(sys.argv[1:]))
+
+
+if __name__ == "__main__":
+    run()

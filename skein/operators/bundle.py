@@ -51,7 +51,29 @@ def imports(graph: Graph, wanted: DataFrame) -> DataFrame:
 
 def related_tests(graph: Graph, wanted: DataFrame) -> DataFrame:
     """Nodes in test files whose name holds the wanted node's name."""
-    named = graph.nodes.join(_keys(wanted).withColumnRenamed("target_id", "id"), ["project", "id"], "left_semi").select("project", F.col("id").alias("target_id"), F.lower("name").alias("part"))
+    named, tests, pairs = _names_in_tests(graph, wanted)
+    return (
+        tests.join(pairs, ["project", "whole"]).join(named.drop("filepath"), ["project", "part"])
+        .where(F.col("id") != F.col("target_id")).select("project", "target_id", "seq", *_BRIEF)
+    )
+
+
+def related_test_counts(graph: Graph, wanted: DataFrame) -> DataFrame:
+    """(project, target_id, tests) of the wanted nodes that have any: how many related
+    tests, counted by name, so that nodes and tests are never paired one by one."""
+    named, tests, pairs = _names_in_tests(graph, wanted)
+    held = tests.groupBy("project", "whole").agg(F.count("*").alias("n"))
+    per_name = pairs.join(held, ["project", "whole"]).groupBy("project", "part").agg(F.sum("n").alias("n"))
+    itself = is_test_file(F.col("filepath")).cast("bigint")  # a node is no test of its own
+    return (
+        named.join(per_name, ["project", "part"])
+        .select("project", "target_id", (F.col("n") - F.coalesce(itself, F.lit(0))).alias("tests")).where("tests > 0")
+    )
+
+
+def _names_in_tests(graph: Graph, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Wanted nodes, nodes in test files, and which name of the first is part of which of the second."""
+    named = graph.nodes.join(_keys(wanted).withColumnRenamed("target_id", "id"), ["project", "id"], "left_semi").select("project", F.col("id").alias("target_id"), "filepath", F.lower("name").alias("part"))
     tests = graph.nodes.where(is_test_file(F.col("filepath"))).select("project", "seq", *_BRIEF, F.lower("name").alias("whole"))
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("whole")))
     # the whole gram at every place, and every shorter one, the empty one included, for names as short
@@ -59,10 +81,7 @@ def related_tests(graph: Graph, wanted: DataFrame) -> DataFrame:
     parts = named.select("project", "part", F.substring("part", 1, GRAM).alias("gram")).distinct()
     wholes = tests.select("project", "whole").where("whole is not null").distinct().withColumn("gram", F.explode(grams))
     pairs = wholes.join(parts, ["project", "gram"]).where(F.col("whole").contains(F.col("part"))).select("project", "part", "whole")
-    return (
-        tests.join(pairs, ["project", "whole"]).join(named, ["project", "part"])
-        .where(F.col("id") != F.col("target_id")).select("project", "target_id", "seq", *_BRIEF)
-    )
+    return named, tests, pairs
 
 
 def sources(graph: Graph, wanted: DataFrame, files: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:

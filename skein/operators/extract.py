@@ -17,6 +17,7 @@ from skein.functions.captures import captures_of
 from skein.functions.languages import Registry
 from skein.operators.graph import Graph, dedupe_first
 from skein.schema import semantic_type
+from skein.workspace import ship
 
 CAPTURES = "fileseq bigint, project string, filepath string, lang string, idx int, tag string, text string, startrow int, startcol int, endrow int, line string"
 _FILE_BITS = 24
@@ -42,6 +43,7 @@ def captures(files: DataFrame) -> DataFrame:
                 rows += [(*place, *c) for c in found]
             yield pd.DataFrame(rows, columns=["fileseq", "project", "filepath", "lang", "idx", "tag", "text", "startrow", "startcol", "endrow", "line"])
 
+    ship(files.sparkSession)
     known = sorted({p.name for p in Registry().by_extension.values()})
     readable = files.where(F.col("content").isNotNull() & F.col("lang").isin(known))
     return readable.select("seq", "project", "relpath", "lang", "content").mapInPandas(read, CAPTURES)

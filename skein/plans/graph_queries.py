@@ -158,13 +158,6 @@ def impact_affected_files(spark, d):
 
 
 def impact_every_class(spark, d):
-    """Direct dependants of every class, at most MAX_NODES of each; :func:`impact_every_class_whole` counts them all."""
-    g = graph(spark, d)
-    found = impact(g, g.nodes.where("type = 'class'"), 1, "upstream")
-    return found.groupBy("project", F.col("start_id").alias("id")).agg(F.count("*").alias("affected"))
-
-
-def impact_every_class_whole(spark, d):
     """Direct and indirect dependants of every class to the operator's default depth, however many."""
     g = graph(spark, d)
     found = impact(g, g.nodes.where("type = 'class'"), direction="upstream", cap=None)
@@ -185,24 +178,14 @@ def ctx_callees(spark, d):
 
 
 def ctx_imports(spark, d):
-    """Imports of interfaces only; :func:`ctx_imports_whole` gives those of all nodes."""
-    g = graph(spark, d)
-    return bundle.imports(g, g.nodes.where("type = 'interface'")).select("project", "target_id", "seq", "targetid")
-
-
-def ctx_imports_whole(spark, d):
     g = graph(spark, d)
     return bundle.imports(g, g.nodes).select("project", "target_id", "seq", "targetid")
 
 
 def ctx_related_tests(spark, d):
+    """How many tests are related to each node; context_bundle lists those of one."""
     g = graph(spark, d)
-    return bundle.related_tests(g, seed(g)).select("project", "target_id", "id", "name")
-
-
-def ctx_related_tests_whole(spark, d):
-    g = graph(spark, d)
-    return bundle.related_tests(g, g.nodes).select("project", "target_id", "id", "name")
+    return bundle.related_test_counts(g, g.nodes)
 
 
 def ctx_source_span(spark, d):
@@ -279,10 +262,10 @@ def export_entities_json(spark, d):
 
 def jsonl_roundtrip(spark, d):
     from skein.sources.jsonl import read_graph, write_graph
-    from skein.workspace import shared_dir
+    from skein.workspace import scratch_folder
 
     g = graph(spark, d)
-    path = f"{shared_dir(spark)}/roundtrip-{abs(hash(d))}"
+    path = scratch_folder(spark, "roundtrip")
     single = Graph(g.nodes.withColumn("id", F.concat_ws("/", "project", "id")), g.edges)
     write_graph(single, path)
     return read_graph(spark, path).stats()
@@ -319,13 +302,61 @@ def extract_entities(spark, d):
     return build_graph(source_files(spark, d)).nodes.where("type <> 'file'").select("project", "id", "type", "startline", "signature")
 
 
+def class_texts(spark, d):
+    """A TypeScript file for every class of the serving graph: two methods, a call in each
+    and one outside, a nested arrow function, an export."""
+    n = graph(spark, d).nodes.where("type = 'class'")
+    text = F.concat(
+        F.lit("import { a } from './a';\nexport class "), "name", F.lit(" {\n  run(a: { b: number }): Map<string, () => void> {\n    const local = (x) => `${outer"), "name",
+        F.lit("(x)}`;\n  }\n\n  async stop() {\n    return this.run(helper?.("), F.col("startline").cast("string"), F.lit("));\n  }\n}\nfunction after() { return new "), "name", F.lit("(); }\n"),
+    )
+    at = F.concat("id", F.lit(".ts"))
+    return n.select((F.abs(F.xxhash64("project", "id")) % (1 << 38)).alias("seq"), "project", at.alias("relpath"), F.lit(".ts").alias("ext"), F.lit("typescript").alias("lang"), text.alias("content"))
+
+
 def extract_methods_class_ctx(spark, d):
-    found = with_context(captures(source_files(spark, d)))
+    found = with_context(captures(class_texts(spark, d)))
     return found.where("tag = 'method'").select("project", "filepath", "text", "startrow", "class_name", "in_class")
 
 
+def extract_class_calls(spark, d):
+    g = build_graph(class_texts(spark, d))
+    return g.edges.where("relation = 'CALLS'").select("project", "sourceid", "targetid", "sourceline")
+
+
 def extract_export_flag(spark, d):
-    return build_graph(source_files(spark, d)).nodes.groupBy("type", "exporttype").agg(F.count("*").alias("n"))
+    return build_graph(class_texts(spark, d)).nodes.select("project", "id", "type", "exporttype", "startline", "endline")
+
+
+# --- the tools over a stored project ---------------------------------------
+
+
+def tool_answers(spark, d):
+    """What the six tools and a resource say of the seed's project, stored in a workspace:
+    (tool, answer) with a number each."""
+    from skein.engine import GraphEngine
+    from skein.sources.jsonl import resource, write_graph
+    from skein.workspace import scratch_folder
+
+    g, project, node = _seeded(spark, d)
+    engine = GraphEngine(spark, scratch_folder(spark, "tools"))
+    own = g.of_project(project)
+    write_graph(own, engine.store.folder(project))
+    asked = own.nodes.where(F.col("type") != "file").groupBy().agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    edges = [{"sourceId": asked["a"], "targetId": asked["b"], "relation": "CALLS", "sourceFile": "x"}] * 2 + [{"sourceId": "none", "targetId": node, "relation": "CALLS"}]
+    before = len(engine.edges_answer(project, node)[0])
+    rows = [
+        ("graph_query", len(engine.query_answer(project, "class")[0])),
+        ("graph_query_pattern", len(engine.query_answer(project, None, "index")[0])),
+        ("graph_edges", before),
+        ("graph_impact_analysis", engine.impact_answer(project, node)[0]["totalAffected"]),
+        ("graph_context_bundle", len(engine.bundle_answer(project, node)[0]["callers"])),
+    ]
+    added = engine.add_edges_answer(project, edges)[0]
+    rows += [("graph_add_edges_tried", added["added"] + added["skipped"]), ("graph_add_edges_errors", len(added["errors"]))]
+    rows += [("graph_enrich", int(engine.enrich_answer(project, node, "s", "low", ["c"])[0]["success"]))]
+    rows += [("resource_entities", len(resource(spark, engine.store.folder(project), "entities")[0].splitlines()))]
+    return spark.createDataFrame(rows, "tool string, answer bigint")
 
 
 QUERIES = {
@@ -336,9 +367,7 @@ QUERIES = {
     "impact_up_d1": _impact(1, "upstream"), "impact_up_d2": _impact(2, "upstream"), "impact_down_d2": _impact(2, "downstream"),
     "impact_both_d2_capped": _impact(2, "both"), "impact_depth_clamp": _impact(99, "upstream"), "impact_both_d5": _impact(5, "both"),
     "impact_affected_files": impact_affected_files, "impact_every_class": impact_every_class,
-    "impact_every_class_whole": impact_every_class_whole,
-    "ctx_callers": ctx_callers, "ctx_callees": ctx_callees, "ctx_imports": ctx_imports, "ctx_imports_whole": ctx_imports_whole, "ctx_related_tests": ctx_related_tests,
-    "ctx_related_tests_whole": ctx_related_tests_whole,
+    "ctx_callers": ctx_callers, "ctx_callees": ctx_callees, "ctx_imports": ctx_imports, "ctx_related_tests": ctx_related_tests,
     "ctx_source_span": ctx_source_span, "ctx_truncate": ctx_truncate, "context_bundle": context_bundle,
     "add_edges_status": add_edges_status, "add_edges_counts": add_edges_counts, "add_edges_defaults": add_edges_defaults,
     "edges_after_adding": edges_after_adding, "enrich_nodes": enrich_nodes, "semantic_validate": semantic_validate,
@@ -346,7 +375,8 @@ QUERIES = {
     "resolved_edges": resolved_edges, "domain_errors": domain_errors, "export_entities_json": export_entities_json,
     "jsonl_roundtrip": jsonl_roundtrip, "walk_filter": walk_filter, "ext_registry": ext_registry,
     "extract_files": extract_files, "extract_imports": extract_imports, "extract_calls": extract_calls,
-    "extract_entities": extract_entities, "extract_methods_class_ctx": extract_methods_class_ctx, "extract_export_flag": extract_export_flag,
+    "extract_entities": extract_entities, "extract_methods_class_ctx": extract_methods_class_ctx, "extract_class_calls": extract_class_calls,
+    "extract_export_flag": extract_export_flag, "tool_answers": tool_answers,
 }
 
 # --- the same in SQL -------------------------------------------------------
@@ -413,6 +443,12 @@ def _span_sql(max_lines: int) -> str:
   FROM spans)"""
 
 
+def _list_sql(rows: str) -> str:
+    """JSON of the values v of ``rows`` in the order o."""
+    brief = "{" + ", ".join(f"'{c}': x.{c}" for c in bundle._BRIEF) + "}"
+    return f"coalesce((SELECT CAST(to_json(list(v ORDER BY o)) AS VARCHAR) FROM ({rows.replace('{b}', brief)})), '[]')"
+
+
 #: What the line of a language imports, where the files of the tables do so.
 _IMPORT_LINES = r"""
   SELECT project, relpath AS sourceid, lang, generate_subscripts(string_split(content, chr(10)), 1) AS sourceline,
@@ -447,18 +483,49 @@ SQL = {
         "SELECT rank, level, id, path FROM s3 WHERE rank > 0",
         "SELECT n.filepath, min(s3.rank) AS first_rank FROM s3 JOIN n ON n.id = s3.id AND n.project = (SELECT project FROM seed) WHERE s3.rank > 0 GROUP BY ALL",
     ),
-    "impact_every_class": _G + """SELECT c.project, c.id, least(100, count(DISTINCT e.sourceid)) AS affected
-        FROM n c JOIN edges e ON e.project = c.project AND e.targetid = c.id JOIN n s ON s.project = e.project AND s.id = e.sourceid
-        WHERE c.type = 'class' AND e.sourceid <> c.id GROUP BY ALL""",
+    "impact_every_class": _G + """, up AS (
+          SELECT DISTINCT e.project, e.targetid AS at_, e.sourceid AS id FROM edges e JOIN n ON n.project = e.project AND n.id = e.sourceid WHERE e.targetid IS NOT NULL
+        ), l1 AS (SELECT c.project, c.id AS start, up.id FROM n c JOIN up ON up.project = c.project AND up.at_ = c.id WHERE c.type = 'class' AND up.id <> c.id
+        ), l2 AS (SELECT l1.project, l1.start, up.id FROM l1 JOIN up ON up.project = l1.project AND up.at_ = l1.id WHERE up.id <> l1.start
+        ) SELECT project, start AS id, count(*) AS affected FROM (SELECT * FROM l1 UNION SELECT * FROM l2) GROUP BY ALL""",
     "ctx_callers": _G + """SELECT e.project, e.targetid AS target_id, e.seq AS edge_seq, s.id, s.name
         FROM edges e JOIN n t ON t.project = e.project AND t.id = e.targetid JOIN n s ON s.project = e.project AND s.id = e.sourceid WHERE e.relation = 'CALLS'""",
     "ctx_callees": _G + """SELECT e.project, e.sourceid AS target_id, e.seq AS edge_seq, t.id, t.name
         FROM edges e JOIN n t ON t.project = e.project AND t.id = e.targetid JOIN n s ON s.project = e.project AND s.id = e.sourceid WHERE e.relation = 'CALLS'""",
     "ctx_imports": _G + """SELECT e.project, n.id AS target_id, e.seq, e.targetid FROM n JOIN edges e ON e.project = n.project AND e.sourceid = n.filepath
-        WHERE n.type = 'interface' AND e.relation = 'IMPORTS_FROM'""",
-    "ctx_related_tests": _G + """SELECT t.project, s.id AS target_id, t.id, t.name FROM n s JOIN seed USING (project, id) JOIN n t ON t.project = s.project AND t.id <> s.id
+        WHERE e.relation = 'IMPORTS_FROM'""",
+    "ctx_related_tests": _G + """SELECT s.project, s.id AS target_id, count(*) AS tests FROM n s JOIN n t ON t.project = s.project AND t.id <> s.id
         WHERE (contains(lower(t.filepath), 'test/') OR contains(lower(t.filepath), '.test.') OR contains(lower(t.filepath), '.spec.'))
-          AND contains(lower(t.name), lower(s.name))""",
+          AND contains(lower(t.name), lower(s.name)) GROUP BY ALL""",
+    "context_bundle": _G + _span_sql(200) + f""", s AS (SELECT n.* FROM n JOIN seed USING (project, id))
+        SELECT s.project, s.id, s.name, s.semantic.summary AS summary, cut.source_code, cut.truncated,
+          {_list_sql("SELECT {b} AS v, e.seq AS o FROM edges e JOIN n x ON x.project = e.project AND x.id = e.sourceid JOIN seed ON e.project = seed.project AND e.targetid = seed.id WHERE e.relation = 'CALLS'")} AS callers,
+          {_list_sql("SELECT {b} AS v, e.seq AS o FROM edges e JOIN n x ON x.project = e.project AND x.id = e.targetid JOIN seed ON e.project = seed.project AND e.sourceid = seed.id WHERE e.relation = 'CALLS'")} AS callees,
+          {_list_sql("SELECT {'sourceid': e.sourceid, 'targetid': e.targetid, 'relation': e.relation, 'sourcefile': e.sourcefile, 'sourceline': e.sourceline} AS v, e.seq AS o FROM edges e JOIN n y ON y.project = e.project AND y.filepath = e.sourceid JOIN seed ON y.project = seed.project AND y.id = seed.id WHERE e.relation = 'IMPORTS_FROM'")} AS imports,
+          {_list_sql("SELECT {b} AS v, x.seq AS o FROM n x JOIN n y ON x.project = y.project AND x.id <> y.id JOIN seed ON y.project = seed.project AND y.id = seed.id WHERE (contains(lower(x.filepath), 'test/') OR contains(lower(x.filepath), '.test.') OR contains(lower(x.filepath), '.spec.')) AND contains(lower(x.name), lower(y.name))")} AS related_tests,
+          CAST(to_json(list_filter([cut.warning], lambda w: w IS NOT NULL)) AS VARCHAR) AS warnings
+        FROM s JOIN cut ON cut.project = s.project AND cut.target_id = s.id""",
+    "export_entities_json": _G + "SELECT id, '{' || concat_ws(',', " + ", ".join(
+        f"""'"{c}":' || CAST(to_json({c.lower()}) AS VARCHAR)""" for c in NODE_FIELDS[:-1]) + ") || '}' AS line FROM n",
+    "extract_methods_class_ctx": _G + """SELECT project, id || '.ts' AS filepath, m.text, CAST(m.startrow AS INT) AS startrow, name AS class_name, true AS in_class
+        FROM n, (VALUES ('run', 2), ('stop', 6)) m(text, startrow) WHERE type = 'class'""",
+    "extract_class_calls": _G + """SELECT project, id || '.ts' AS sourceid, CASE line WHEN 4 THEN 'outer' || name ELSE 'helper' END AS targetid, CAST(line AS INT) AS sourceline
+        FROM n, (VALUES (4), (8)) v(line) WHERE type = 'class'""",
+    "extract_export_flag": _G + """SELECT project, id || '.ts' || CASE k WHEN 'file' THEN '' WHEN 'class' THEN '::' || name WHEN 'run' THEN '::' || name || '.run'
+          WHEN 'stop' THEN '::' || name || '.stop' ELSE '::' || k END AS id,
+          CASE k WHEN 'file' THEN 'file' WHEN 'class' THEN 'class' ELSE 'function' END AS type, CASE k WHEN 'class' THEN 'named' WHEN 'local' THEN 'named' ELSE 'none' END AS exporttype,
+          CAST(line AS INT) AS startline, CAST(CASE k WHEN 'file' THEN 12 ELSE line END AS INT) AS endline
+        FROM n, (VALUES ('file', 1), ('class', 2), ('run', 3), ('local', 4), ('stop', 7), ('after', 11)) v(k, line) WHERE type = 'class'""",
+    "tool_answers": _impact_sql(2, "upstream").rsplit(" SELECT rank, level, id, path FROM ", 1)[0] + """, p AS (SELECT n.* FROM n JOIN seed ON n.project = seed.project
+        ), pe AS (SELECT e.*, seed.id AS seed_id FROM edges e JOIN seed ON e.project = seed.project)
+        SELECT 'graph_query' AS tool, (SELECT count(*) FROM p WHERE type = 'class') AS answer
+        UNION ALL SELECT 'graph_query_pattern', (SELECT count(*) FROM p WHERE coalesce(contains(lower(name), 'index'), false)
+          OR len(list_filter(coalesce(semantic.domainconcepts, []), lambda c: contains(lower(c), 'index'))) > 0)
+        UNION ALL SELECT 'graph_edges', (SELECT count(*) FROM pe WHERE sourceid = seed_id) + (SELECT count(*) FROM pe WHERE targetid = seed_id)
+        UNION ALL SELECT 'graph_impact_analysis', (SELECT count(*) FROM s2 WHERE rank > 0)
+        UNION ALL SELECT 'graph_context_bundle', (SELECT count(*) FROM pe JOIN p ON p.id = pe.sourceid WHERE targetid = seed_id AND relation = 'CALLS')
+        UNION ALL SELECT 'graph_add_edges_tried', 2 UNION ALL SELECT 'graph_add_edges_errors', 1 UNION ALL SELECT 'graph_enrich', 1
+        UNION ALL SELECT 'resource_entities', (SELECT count(*) FROM p)""",
     "ctx_source_span": _G + _span_sql(200) + " SELECT project, target_id, source_code, truncated, warning FROM cut WHERE type <> 'file'",
     "ctx_truncate": _G + _span_sql(40) + """ SELECT project, target_id, CAST(length(source_code) AS INT) AS n_chars, truncated,
         CAST(CASE WHEN content IS NOT NULL THEN n_lines END AS INT) AS n_lines, warning FROM cut WHERE type = 'file'""",

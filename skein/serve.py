@@ -8,10 +8,10 @@ from typing import IO
 
 from pyspark.sql import SparkSession
 
-import skein
 from skein.engine import GraphEngine
 from skein.schema import COMPLEXITIES, REQUEST_RELATIONS
 from skein.sources import jsonl
+from skein.workspace import freeing
 
 _TEXT, _LIST = {"type": "string"}, {"type": "array", "items": {"type": "string"}}
 _EDGE = {
@@ -40,6 +40,12 @@ RESOURCES = ("entities", "relations", "metadata")
 SCHEME = "graph://"
 
 
+def _version() -> str:
+    from skein import __version__
+
+    return __version__
+
+
 class Server:
     def __init__(self, engine: GraphEngine):
         self.engine = engine
@@ -52,7 +58,8 @@ class Server:
         unknown = [k for k in arguments if k not in known]
         if missing or unknown:
             raise ValueError(f"Invalid arguments: missing {missing}, unknown {unknown}")
-        answer, failed = getattr(self.engine, method)(**{k: v for k, v in arguments.items() if v is not None})
+        with freeing():
+            answer, failed = getattr(self.engine, method)(**{k: v for k, v in arguments.items() if v is not None})
         out = {"content": [{"type": "text", "text": json.dumps(answer, indent=2, ensure_ascii=False)}]}
         return out | {"isError": True} if failed else out
 
@@ -70,7 +77,7 @@ class Server:
                 result = {
                     "protocolVersion": params.get("protocolVersion", "2024-11-05"),
                     "capabilities": {"tools": {}, "resources": {}},
-                    "serverInfo": {"name": "skein", "version": skein.__version__},
+                    "serverInfo": {"name": "skein", "version": _version()},
                 }
             elif method == "tools/list":
                 result = {"tools": [{"name": n, "description": d, "inputSchema": {"type": "object", "properties": p, "required": r}} for n, (_, d, p, r) in TOOLS.items()]}

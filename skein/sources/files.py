@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.languages import Registry
 from skein.schema import FILES
+from skein.workspace import ship
 
 # fixed values: what a scan leaves out, and how many files it takes
 EXCLUDED_DIRS = ("node_modules", "dist", ".git", "output", "coverage")
@@ -96,4 +97,5 @@ def read_files(spark: SparkSession, root: str, project: str = "", max_files: int
                     texts.append(None)
             yield batch.assign(content=texts)[FILES.names]
 
+    ship(spark)
     return frame.repartition(max(1, min(len(listed), spark.sparkContext.defaultParallelism))).mapInPandas(load, FILES)

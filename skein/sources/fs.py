@@ -39,6 +39,29 @@ class Files:
         finally:
             stream.close()
 
+    def join(self, folder: str, path: str) -> None:
+        """Make one file of the parts Spark wrote to ``folder``, in their order, to take the
+        place of ``path``; bytes go through the driver's JVM as a stream."""
+        fs, p = self._at(path)
+        partial = p.suffix(".partial")
+        stream = fs.create(partial, True)
+        try:
+            parts = sorted((str(x.getPath()) for x in fs.globStatus(self.jvm.org.apache.hadoop.fs.Path(folder, "part-*"))))
+            for part in parts:
+                source = fs.open(self.jvm.org.apache.hadoop.fs.Path(part))
+                self.jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, stream, 1 << 16, False)
+                source.close()
+            if not stream.getPos():
+                stream.write(bytearray(b"\n"))
+        finally:
+            stream.close()
+        self._swap(fs, partial, p)
+
+    def _swap(self, fs, partial, p) -> None:
+        fs.delete(p, False)
+        if not fs.rename(partial, p):
+            raise OSError(f"Cannot replace {p.toString()}")
+
     def replace(self, path: str, parts: Iterable[str], at_once: int = 2_000) -> None:
         """Write ``parts`` to a new file that then takes the place of ``path``."""
         fs, p = self._at(path)
@@ -49,6 +72,4 @@ class Files:
                 stream.write(bytearray(chunk, "utf-8"))
         finally:
             stream.close()
-        fs.delete(p, False)
-        if not fs.rename(partial, p):
-            raise OSError(f"Cannot replace {path}")
+        self._swap(fs, partial, p)

@@ -9,7 +9,6 @@ each, which is written partition by partition and moved into place at the end.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from skein.operators.graph import Graph, dedupe_first, dedupe_last
 from skein.schema import EDGE_FIELDS, EDGES, METADATA, NODE_FIELDS, NODES, edge_type, node_type, to_interchange
 from skein.sources.fs import Files
-from skein.workspace import materialise
+from skein.workspace import materialise, scratch_folder
 
 ENTITIES, RELATIONS_FILE, METADATA_FILE = "entities.jsonl", "relations.jsonl", "metadata.json"
 FORMAT_VERSION = "0.1.0"  # fixed value: version of the format
@@ -28,7 +27,7 @@ def _lines(spark: SparkSession, path: str, schema, mode: str) -> DataFrame:
     """Rows of a line file with ``_line``, their place in it; empty if it is missing."""
     if not Files(spark).exists(path):
         return spark.createDataFrame([], schema).withColumn("_line", F.lit(0).cast("bigint"))
-    text = spark.read.text(path).select(F.monotonically_increasing_id().alias("_line"), F.trim("value").alias("value")).where("value <> ''")
+    text = spark.read.text(path).select(F.monotonically_increasing_id().alias("_line"), F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("value")).where("value <> ''")
     parsed = text.select("_line", F.from_json("value", schema, {"mode": mode}).alias("r"))
     return parsed.select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields], "_line")
 
@@ -52,18 +51,12 @@ def read_graph(spark: SparkSession, folder: str, project: str = "", strict: bool
 
 
 def _write_lines(df: DataFrame, order: list, fields: tuple[str, ...], path: str) -> None:
-    """One JSON object a line, in order, swapped into place when complete."""
+    """One JSON object a line, in order: sorted parts by the executors, joined and
+    swapped into place when complete."""
     rows = to_interchange(df.orderBy(*order), fields).select(F.to_json(F.struct(*fields)).alias("line"))
-
-    def lines() -> Iterator[str]:
-        empty = True
-        for r in rows.toLocalIterator(prefetchPartitions=True):
-            empty = False
-            yield r["line"] + "\n"
-        if empty:
-            yield "\n"
-
-    Files(df.sparkSession).replace(path, lines())
+    parts = scratch_folder(df.sparkSession, "lines")
+    rows.write.text(parts)
+    Files(df.sparkSession).join(parts, path)
 
 
 def _safe(spark: SparkSession, folder: str) -> str:

@@ -42,7 +42,7 @@ def test_every_class_has_all_its_dependants(spark, tables):
         affected = direct.union(*[into[k] for k in direct]) - {key}
         if n["type"] == "class" and affected:
             expected[key] = len(affected)
-    rows = q.impact_every_class_whole(spark, str(SF)).collect()
+    rows = q.impact_every_class(spark, str(SF)).collect()
     assert {(r["project"], r["id"]): r["affected"] for r in rows} == expected and len(rows) == len(expected)
 
 
@@ -53,7 +53,7 @@ def test_every_node_has_its_imports(spark, tables):
         if e["relation"] == "IMPORTS_FROM":
             of[e["project"], e["sourceid"]].append((e["seq"], e["targetid"]))
     expected = Counter((*key, *e) for key, n in nodes.items() for e in of[n["project"], n["filepath"]])
-    rows = q.ctx_imports_whole(spark, str(SF)).collect()
+    rows = q.ctx_imports(spark, str(SF)).collect()
     assert Counter(tuple(r) for r in rows) == expected
     assert {nodes[r["project"], r["target_id"]]["type"] for r in rows} > {"interface"}
 
@@ -68,7 +68,11 @@ def test_every_node_has_its_related_tests(spark, tables):
         (p, i, t["id"], t["name"]) for (p, i), n in nodes.items() if n["name"] is not None
         for t in tests[p] if n["name"].lower() in t["name"].lower() and t["id"] != i
     )
-    assert Counter(tuple(r) for r in q.ctx_related_tests_whole(spark, str(SF)).collect()) == expected and expected
+    g = q.graph(spark, str(SF))
+    got = Counter(tuple(r) for r in bundle.related_tests(g, g.nodes).select("project", "target_id", "id", "name").collect())
+    assert got == expected and expected
+    counts = {(r["project"], r["target_id"]): r["tests"] for r in q.ctx_related_tests(spark, str(SF)).collect()}
+    assert counts == Counter((p, i) for p, i, *_ in expected.elements())
 
 
 def test_related_tests_of_more_than_ten_thousand(spark):
