@@ -8,8 +8,10 @@ or to the last where ``cap`` is None.
 
 A frontier has at most ``cap`` rows per start node.  It is broadcast where the
 number of start nodes is known to keep it small, so a level reads the edges once
-without shuffling them; otherwise, and always without a cap, it is joined by key.  Levels are written to the
-shared folder, which cuts the lineage of the loop.
+without shuffling them; otherwise, and always without a cap, it is joined by key.
+Before that, edges at ends that are no node - a library symbol may hold a tenth of
+them - are dropped by a filter of fixed size.  Levels are written to the shared
+folder, which cuts the lineage of the loop.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.graph import Graph
+from skein.operators.keyfilter import key_filter, may_be_among
 from skein.workspace import materialise
 
 MAX_DEPTH = 5
@@ -49,6 +52,9 @@ def impact(graph: Graph, starts: DataFrame, depth: float = 2, direction: str = "
         sides.append(F.struct(F.col("sourceid").alias("at"), F.col("targetid").alias("next"), F.lit(1).alias("dir")))
     steps = graph.edges.select("project", "seq", F.explode(F.array(*sides)).alias("e")).select("project", "seq", "e.*").where("at is not null and next is not null")
 
+    if not small:
+        steps = may_be_among(steps, ["project", "at"], key_filter(ids, ["project", "id"]))
+
     found, frontier, level = seeds, seeds, 0
     while level < levels:
         level += 1
