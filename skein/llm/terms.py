@@ -2,9 +2,10 @@
 are too rare or too common.
 
 A global integer dictionary numbers the distinct terms in sorted order.  Records
-are dealt to ``blocks``; each block accumulates dense count arrays over ranges of
+are dealt to ``blocks``; each block accumulates count arrays over ranges of
 ``range_size`` identifiers, one for occurrences and one for record presence, and
-the arrays of a range are summed over the blocks.  Every record lies in exactly
+the arrays of a range are summed over the blocks.  A block's arrays hold the slots
+of the range that occur in it, at most ``range_size``; only the sum is dense.  Every record lies in exactly
 one block, so presence adds up exactly.  A hot term reaches the encoding join
 with at most ``blocks`` rows however many records hold it.
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.ordering import global_index
-from skein.workspace import materialise
+from skein.workspace import materialise, ship
 
 
 def term_of(value: Column) -> Column:
@@ -48,6 +49,7 @@ def field_values(nodes: DataFrame) -> DataFrame:
 
 def term_frequency(values: DataFrame, blocks: int = 64, range_size: int = 4096) -> tuple[DataFrame, dict[str, int]]:
     """Frame (field_name, term, occurrences, n_records) and the records per field."""
+    ship(values.sparkSession)
     per_record = materialise(
         values.groupBy("field_name", "term", "project", "id").agg(F.count("*").alias("occ")), "terms"
     )
@@ -69,24 +71,17 @@ def term_frequency(values: DataFrame, blocks: int = 64, range_size: int = 4096)
         "block", "occ", "presence",
     )
 
-    def block_arrays(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        occ, presence = np.zeros(range_size, np.int64), np.zeros(range_size, np.int64)
-        np.add.at(occ, rows["slot"].to_numpy(), rows["occ"].to_numpy())
-        np.add.at(presence, rows["slot"].to_numpy(), rows["presence"].to_numpy())
-        return pd.DataFrame({"range_no": [key[0]], "occ": [occ], "presence": [presence]})
-
     def sum_arrays(key: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         occ, presence = np.zeros(range_size, np.int64), np.zeros(range_size, np.int64)
         for part in rows:
-            for o, p in zip(part["occ"], part["presence"]):
-                occ += o
-                presence += p
+            for slot, o, p in zip(part["slot"], part["occ"], part["presence"]):  # no slot twice in a block
+                occ[slot] += o
+                presence[slot] += p
         slot = np.flatnonzero(presence)
         yield pd.DataFrame({"term_id": key[0] * range_size + slot, "occurrences": occ[slot], "n_records": presence[slot]})
 
-    arrays = encoded.groupBy("range_no", "block").applyInPandas(
-        block_arrays, "range_no bigint, occ array<bigint>, presence array<bigint>"
-    )
+    counts = F.collect_list(F.struct("slot", "occ", "presence"))
+    arrays = encoded.groupBy("range_no", "block").agg(counts.alias("held")).select("range_no", *[F.col(f"held.{c}").alias(c) for c in ("slot", "occ", "presence")])
     sums = arrays.groupBy("range_no").applyInPandas(sum_arrays, "term_id bigint, occurrences bigint, n_records bigint")
     return dictionary.join(sums, "term_id").drop("term_id"), records
 
