@@ -46,6 +46,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.workspace import ship
+
 #: Letters of other scripts that look like Latin ones (fixed values).
 LOOKALIKES = str.maketrans(
     "аеорсухіѕјкмтвнАВЕКМНОРСТУХІЅЈαορνκιτ",
@@ -470,6 +472,7 @@ def train(documents: DataFrame, labels: DataFrame, max_documents: int = 20_000,
 
 def abuse_score(text: Column, model: AbuseModel | None, spark) -> Column:
     """Probability that the worst passage of the text is a case."""
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.languages import without_comments
-from skein.workspace import materialise
+from skein.workspace import materialise, ship
 
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789_^$"
 FORMS = "w#_^$"  # a word, a number, a leading underscore, begin and end
@@ -229,6 +229,7 @@ def judge_files(files: DataFrame, limits: Limits = Limits(), keep: tuple[str, ..
     """Profiles of ``files`` (keep..., lang, content) with ``reasons``, an array
     of mangled, data, template and foreign."""
     spark = files.sparkSession
+    ship(spark)
     read, model = _read(files, keep)
     grams = model.groupBy("language", "gram").agg(F.sum("weight").alias("weight"))
     shared = spark.sparkContext.broadcast(bits_of(_dense(grams, len(LANGUAGES) + 1, len(SYMBOLS) ** 3), len(SYMBOLS), 0.005).astype(np.float32))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.ordering import global_index
-from skein.workspace import materialise
+from skein.workspace import materialise, ship
 
 
 @dataclass
@@ -193,6 +193,7 @@ def pack_documents(documents: DataFrame, pack_sizes: DataFrame, step_containers:
     )
     if not sizes:
         return spark.createDataFrame([], out)
+    ship(spark)
     docs = materialise(documents.where("n_tokens > 0").select("doc_id", "n_tokens", "item"), "sized")
     # a piece per full container and one for the rest, per capacity
     packs = F.explode(F.array(*[F.struct(F.lit(p).cast("int").alias("pack_id"), F.lit(c).cast("int").alias("capacity")) for p, c in sizes]))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.workspace import ship
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published splitting pattern of this vocabulary (fixed value).
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,6 +40,7 @@ def token_count(text: Column, ranks_path: str = DEFAULT_RANKS) -> Column:
 
 def sized(documents: DataFrame, *keep: str, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
     """``keep`` columns, ``n_tokens`` and ``item``, a number of the row."""
+    ship(documents.sparkSession)
     return documents.select(
         *keep, token_count(F.col("text"), ranks_path).alias("n_tokens"), F.monotonically_increasing_id().alias("item")
     )
