@@ -333,7 +333,7 @@ def cut(score: np.ndarray, y: np.ndarray, base_rate: float, caution: float = 1.0
 
 def fit(
     texts: list[str | None], labels: list[int], bits: int = 20, rounds: int = 2, folds: int = 3, epochs: int = 3, positive_weight: float = 2.0,
-    doubt: float = 0.9, base_rate: float = 0.03, seed: int = 5, **ftrl,
+    doubt: float = 0.98, base_rate: float = 0.03, seed: int = 5, **ftrl,
 ) -> AbuseModel | None:
     """A passage model from verdicts on documents; None without both verdicts.
 
